@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-REACH = 3
+REACH = 4
 OFFSETS = range(-REACH, REACH + 1)
 TOKEN = re.compile(r"\r\n|\n|\r|[^\W_]+|_|[^\w\s]")
 
@@ -120,7 +120,7 @@ class Model:
         return [path[r, : size[r]] for r in range(n)]
 
 
-def train(texts: list[list[str]], tags: list[list[str]], labels: list[str], epochs: int = 12, batch: int = 64, rate: float = 0.08, decay: float = 2e-4, least: int = 2, seed: int = 1) -> Model:
+def train(texts: list[list[str]], tags: list[list[str]], labels: list[str], epochs: int = 8, batch: int = 64, rate: float = 0.08, decay: float = 2e-4, least: int = 2, seed: int = 1) -> Model:
     """Maximum likelihood by mini-batch Adam; features seen fewer than `least` times are left out."""
     vocab: dict[str, int] = {"": 0}
     flat = [np.array([vocab.setdefault(t, len(vocab)) for t in text], dtype=np.int32) for text in texts]

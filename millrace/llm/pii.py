@@ -19,7 +19,7 @@ LABELS = ["O"] + [f"{p}-{k}" for k in KINDS for p in "BI"]
 _CHECK = {
     "email": lambda s: bool(re.search(r"@|\bat\b", s, re.I)) and bool(re.search(r"\.|\bdot\b", s, re.I)) and len(s) >= 6,
     "phone": lambda s: sum(c.isdigit() for c in s) >= 7 and not re.search(r"[^\W\d_]", s),
-    "id_number": lambda s: sum(c.isdigit() for c in s) >= 5 and sum(c.isalnum() for c in s) >= 7 and not s.upper().startswith("REQ"),
+    "id_number": lambda s: sum(c.isdigit() for c in s) >= 4 and sum(c.isalnum() for c in s) >= 7 and not re.match(r"REQ|\d{1,2}\.\d{1,2}\.\d{4}$", s, re.I),
     "address": lambda s: any(c.isdigit() for c in s) and sum(c.isalpha() for c in s) >= 4,
     "name": lambda s: sum(c.isalpha() for c in s) >= 3 and not re.search(r"[\d@<>/]", s),
 }
@@ -37,15 +37,44 @@ def encode(text: str, spans: list[tuple[int, int, str]]) -> tuple[list[str], lis
 
 
 @functools.lru_cache(maxsize=2)
-def model(fills: int = 30, seed: int = 11) -> crf.Model:
+def model(fills: int = 120, seed: int = 11) -> crf.Model:
     """The field, trained from the labelled table."""
     rows = [encode(text, spans) for text, spans in labelled(fills, seed)]
     return crf.train([r[0] for r in rows], [r[1] for r in rows], LABELS)
 
 
+#: Signs that end a word as written; a found stretch never ends inside a word.
+_EDGE = " \t\r\n\x0b\x0c\u00a0<>(),;:\"|"
+_ABBREVIATED = re.compile(r"\b(?:rd|st|ave|str)\.$", re.I)
+
+
+def _trim(text: str, a: int, b: int, kind: str) -> tuple[int, int]:
+    while a < b and (text[a].isspace() or text[a] in ",;:<>)]'\"-*•" or (text[a] in "./" and kind != "email")):
+        a += 1
+    while a < b and (text[b - 1].isspace() or text[b - 1] in ",;:<>([/'\"-*•" or text[b - 1] == "."):
+        if text[b - 1] == "." and (kind == "name" and re.search(r"(?:^|[\s,])\w\.$", text[a:b]) or kind == "address" and _ABBREVIATED.search(text[a:b])):
+            break
+        b -= 1
+    return a, b
+
+
+def _snap(text: str, a: int, b: int, kind: str) -> tuple[int, int]:
+    """The stretch widened to whole words."""
+    if text[a] not in "(+":
+        while a > 0 and text[a - 1] not in _EDGE + "*•":
+            a -= 1
+    if kind == "phone" and a > 0 and text[a - 1] == "(" and ")" in text[a:b]:
+        a -= 1
+    if kind == "id_number" and a > 1 and text[a - 1] == "<" and text[a - 2] == "P":
+        a -= 2
+    while b < len(text) and text[b] not in _EDGE + "*•":
+        b += 1
+    return _trim(text, a, b, kind)
+
+
 def spans_of(text: str, starts: list[int], ends: list[int], path) -> list[tuple[int, int, str]]:
-    """The labelled stretches of a text, without blanks and signs at their ends; each must look like its kind."""
-    out, i, n = [], 0, len(path)
+    """The labelled stretches of a text, of whole words and without signs at their ends; each must look like its kind."""
+    raw, i, n = [], 0, len(path)
     while i < n:
         label = LABELS[path[i]]
         if label == "O":
@@ -54,15 +83,17 @@ def spans_of(text: str, starts: list[int], ends: list[int], path) -> list[tuple[
         kind, j = label[2:], i + 1
         while j < n and LABELS[path[j]] == f"I-{kind}":
             j += 1
-        a, b = starts[i], ends[j - 1]
-        while a < b and (text[a].isspace() or text[a] in ",;:<>)]'\"" or (text[a] == "." and kind != "email")):
-            a += 1
-        while a < b and (text[b - 1].isspace() or text[b - 1] in ",;:<>([/'\"-" or text[b - 1] == "."):
-            b -= 1
-        if _CHECK[kind](text[a:b]):
-            out.append((a, b, kind))
+        a, b = _trim(text, starts[i], ends[j - 1], kind)
+        if a < b:
+            a, b = _snap(text, a, b, kind)
+        if a < b:
+            # Pieces of one kind with nothing but a blank between them are one; words shared with the piece before stay there.
+            if raw and raw[-1][2] == kind and (a <= raw[-1][1] or text[raw[-1][1] : a] == " "):
+                raw[-1] = (raw[-1][0], max(b, raw[-1][1]), kind)
+            elif not raw or a >= raw[-1][1]:
+                raw.append((a, b, kind))
         i = j
-    return out
+    return [(a, b, kind) for a, b, kind in raw if _CHECK[kind](text[a:b])]
 
 
 def detect(field: crf.Model, texts: list[str]) -> list[list[tuple[int, int, str]]]:

@@ -52,6 +52,20 @@ PLAIN = [
     "There is fruit, coffee and a bicycle cellar in <<city>>.", "A degree helps, but practical work with <<product>> counts more for us.", "You can work from home <<n>> days a week.", "You stay calm when <<product>> fails on a Friday afternoon.",
     "In room <<n>> a gentle meadow questions what driver and planner hardly call bright lantern work.", "Beyond the chapel <<n>> tutors wait, hollow but polished, until a workshop rarely paints them.", "Rate from 1 to <<n>> how openly this clerk signs a idle workshop or staircase.",
     "About the role\n", "Your tasks\n", "What you bring\n", "What we offer\n", "Die Stelle\n", "Deine Aufgaben\n", "Das bringst du mit\n", "Das bieten wir\n", "El puesto\n", "Tus tareas\n", "Qué ofrecemos\n", "Lo que aportas\n", "Le poste\n", "Vos missions\n", "Votre profil\n", "Nous offrons\n", "La posizione\n", "I tuoi compiti\n", "Cosa porti\n", "Cosa offriamo\n", "De functie\n", "Je taken\n", "Wat je meebrengt\n", "Wat wij bieden\n",
+    "What we look for\n", "Tu perfil\n", "Jouw profiel\n", "Il tuo profilo\n", "Wat we bieden\n", "You are fluent in English and can follow a meeting in another language.", "Ideally you have worked in retail trade before.", "You bring <<n>> years of experience with <<product>>.",
+    "You plan the next release with the people from insurance and keep the list of open points short.", "You write short notes on what you changed in <<product>> and why.", "You check the figures from <<product>> every week and explain the gaps.", "<<company>>\n", "If amber granaries count double, which gardener bravely rebuilds barge <<n>>?",
+    "A porter paints and gathers every gentle harbour that gardeners secretly left in corridor <<n>>.", "When the bakery gladly trades its tunnel, uneven welders ask for <<n>> careful cellars.", "One depot per porter, <<n>> early barges per canal, and whoever measures rarely pays.", "As openly as the welder inspects painted vineyards, the clerk sketches <<n>> pulleys.",
+    "Neither lantern nor harbour twice gathers the tutor's retired barge for <<n>> weeks.", "<<n>> plain quarries, <<n>> cellars and a tutor: who openly paints the loom?", "Du bleibst ruhig, wenn <<product>> am Freitagnachmittag ausfällt.", "Ein Studium hilft, aber die praktische Arbeit mit <<product>> zählt bei uns mehr.", "Du kannst an <<n>> Tagen in der Woche zu Hause arbeiten.",
+    "Du willst im Bereich Logistik etwas bewegen? Dann passt diese Stelle zu dir.", "Du kümmerst dich um etwa <<n>> Kunden aus dem Bereich Nahverkehr und besuchst sie zweimal im Jahr.", "Im Idealfall hast du schon im Bereich Einzelhandel gearbeitet.", "Du hältst kurz fest, was du in <<product>> geändert hast und warum.",
+    "Gemeinsam mit <<n>> Kolleginnen und Kollegen stellst du von <<product>> auf <<product>> um.", "Du beantwortest Fragen aus dem Bereich Buchhaltung, wenn <<product>> sich nicht wie erwartet verhält.", "Zähle blasse Truhe, obere Hütte sowie Fahrer, sofern Fähre <<n>> sie heimlich verfolgt.", "Welche frühe Waage leert zögernd, was <<n>> Boten in schwere Säge <<n>> verloren?", "<<n>> Setzer, eine morsche Galerie samt Kammer: wer leert zögernd die hohle Treppe?",
+    "Gestern fragt die Galerie, was <<n>> Boten in geduldige Wiese <<n>> verloren.", "Mantienes nuestro entorno de <<product>> y lo entregas al área de seguros.", "Atiendes a unos <<n>> clientes del sector de logística.", "Anotas en pocas líneas qué has cambiado en <<product>> y por qué.", "Puedes trabajar desde casa <<n>> días a la semana.", "Ofrecemos <<n>> días de vacaciones y <<n>> euros al año para cursos.",
+    "Un título ayuda, pero la experiencia práctica con <<product>> cuenta más.", "Junto con <<n>> compañeros pasas los sistemas de <<product>> a <<product>>.", "En <<company>> trabajan <<n>> personas de <<n>> países para mejorar la contabilidad.", "¿Quieres mover algo en el sector de seguros? Entonces este puesto de <<job>> es para ti.", "Cada semana revisas las cifras de <<product>> y explicas los huecos.",
+    "Vous suivez environ <<n>> clients du secteur logistique.", "Vous gardez votre calme quand <<product>> tombe en panne le vendredi.", "Vous notez brièvement ce qui a changé dans <<product>> et pourquoi.", "Chaque semaine, vous contrôlez les chiffres de <<product>> et vous expliquez les écarts.", "Vous pouvez travailler chez vous <<n>> jours par semaine.", "Vous avez <<n>> ans d'expérience avec <<product>>.",
+    "Applications close on <<date>>.", "Bewerbungsschluss ist der <<date>>.", "Reageren kan tot <<date>>.", "Chez <<company>>, <<n>> personnes de <<n>> pays travaillent pour une meilleure assurance.", "Avec <<n>> collègues, vous faites passer les systèmes de <<product>> à <<product>>.", "Un diplôme aide, mais la pratique de <<product>> compte davantage.", "Vous voulez faire bouger le secteur santé publique ? Alors ce poste de <<job>> est pour vous.",
+    "Segui circa <<n>> clienti del settore logistica.", "Resti calmo quando <<product>> si ferma di venerdì pomeriggio.", "Annoti in breve che cosa hai cambiato in <<product>> e perché.", "Ogni settimana controlli i numeri di <<product>> e spieghi le differenze.", "Puoi lavorare da casa <<n>> giorni a settimana.", "Offriamo <<n>> giorni di ferie e <<n>> euro all'anno per i corsi.", "Lo stipendio va da <<money>> a <<money>> euro.",
+    "Una laurea aiuta, ma la pratica con <<product>> conta di più.", "Insieme a <<n>> colleghi sposti i sistemi da <<product>> a <<product>>.", "In <<company>> lavorano <<n>> persone di <<n>> paesi per una logistica migliore.", "Per la nostra sede di <<city>> vogliamo assumere al più presto un/una <<job>>.", "Porti <<n>> anni di esperienza con <<product>>.",
+    "Je kunt <<n>> dagen per week thuis werken.", "We bieden <<n>> vrije dagen en <<n>> euro per jaar voor cursussen.", "Je blijft rustig als <<product>> op vrijdagmiddag uitvalt.", "Je noteert kort wat je in <<product>> hebt veranderd en waarom.", "Elke week controleer je de cijfers uit <<product>> en leg je de gaten uit.", "Een diploma helpt, maar praktijk met <<product>> telt zwaarder.",
+    "Bij <<company>> werken <<n>> mensen uit <<n>> landen aan betere logistiek.", "Samen met <<n>> collega's zet je de systemen over van <<product>> naar <<product>>.", "Voor onze vestiging in <<city>> zoeken we zo snel mogelijk een <<job>>.", "Je brengt <<n>> jaar ervaring met <<product>> mee.",
     "Bei <<company>> arbeiten <<n>> Menschen aus <<n>> Ländern an besserer Logistik.", "Seit <<year>> entwickelt <<company>> Werkzeuge für den Bereich Einzelhandel.", "<<company>> sucht für den Standort <<city>> Verstärkung als <<job>> im Bereich Logistik.",
     "Zum nächstmöglichen Zeitpunkt besetzen wir in <<city>> eine Stelle als <<job>>.", "Du betreust unsere Umgebung mit <<product>> und übergibst sie an den Bereich Nahverkehr.", "Du kennst <<product>> und hast <<product>> zumindest schon gesehen.", "Bitte gib die Kennziffer <<ref>> an.", "Bewerbungsschluss ist der <<date>>.",
     "Das Gehalt liegt zwischen <<money>> und <<money>> Euro.", "Wir bieten <<n>> Tage Urlaub und jedes Jahr <<n>> Euro für Kurse.", "Jede Woche prüfst du die Zahlen aus <<product>> und erklärst die Lücken.", "Du bringst <<n>> Jahre Erfahrung mit <<product>> mit.", "Einmal im Monat stellst du in <<city>> den Stand von <<product>> vor.", "Die schiefe Galerie befragt <<n>> Wiesen, bevor Maler und Boten die Tonne mehrfach schließen.",
@@ -107,11 +121,11 @@ class Filler:
         x, f, l = self.r.random(), self.first(), self.last()
         if x < 0.10:
             f = f + "-" + self.first()
-        elif x < 0.18:
+        elif x < 0.21:
             f = f + " " + self.caps(1) + "."
-        elif x < 0.27:
+        elif x < 0.30:
             f = f[0] + "."
-        n = f"{l}, {f}" if self.r.random() < 0.12 else f"{f} {l}"
+        n = f"{l}, {f}" if self.r.random() < 0.15 else f"{f} {l}"
         y = self.r.random()
         return n.upper() if y < 0.08 else n.lower() if y < 0.17 else n
 
@@ -169,11 +183,11 @@ class Filler:
             s = p([lambda: w() + p(["straße", "str.", "weg", "allee", "gasse", "platz", "ring", "ufer", "stieg"]), lambda: w() + p(["straße", "weg", "allee", "ring"]), lambda: f"An der {w()}{p(['mühle', 'straße', 'brücke'])}", lambda: f"Am Alten {w()}{p(['platz', 'hof', 'weg'])}"])()
             return f"{s} {p([self.number(), self.number(), f'{n}/{self.r.randint(1, 9)}'])}"
         if lang == "fr":
-            return f"{n}{p(['', '', ' bis', ' ter'])}{p(['', '', ','])} {p(['rue', 'bd', 'avenue', 'place', 'impasse', 'chemin', 'quai', 'allée'])} {p(['des ' + w() + 's', 'de la ' + w(), 'du ' + w() + ' ' + w(), 'des ' + p(['Deux', 'Trois']) + ' ' + w() + 's', 'des ' + w() + 's-' + w() + 's'])}"
+            return f"{n}{p(['', ' bis', ' ter'])}{p(['', ','])} {p(['rue', 'bd', 'avenue', 'place', 'impasse', 'chemin', 'quai', 'allée'])} {p(['des ' + w() + 's', 'de la ' + w(), 'du ' + w() + ' ' + w(), 'des ' + p(['Deux', 'Trois']) + ' ' + w() + 's', 'des ' + w() + 's-' + w() + 's'])}"
         if lang == "es":
             return f"{p(['Calle', 'C/', 'Avda.', 'Paseo', 'Plaza', 'Camino'])} {p(['de la ' + w(), 'del ' + w(), 'de los ' + w() + 'es', w() + ' ' + w(), 'del ' + w() + ' ' + w()])}{p([' ', ', ', ', n.º '])}{n}"
         if lang == "it":
-            return f"{p(['Via', 'viale', 'Corso', 'Largo', 'P.zza', 'Vicolo', 'Piazza'])} {p(['del ' + w(), 'degli ' + w(), 'della ' + w(), w() + ' ' + w(), 'dei ' + w() + ' ' + w()])}{p([' ', ' ', ', ', ' n. '])}{n}{p(['', '', '/B', '/A'])}"
+            return f"{p(['Via', 'viale', 'Corso', 'Largo', 'P.zza', 'P.zza', 'Vicolo', 'Vicolo', 'Piazza'])} {p(['del ' + w(), 'degli ' + w(), 'della ' + w(), w() + ' ' + w(), 'dei ' + w() + ' ' + w()])}{p([' ', ', ', ' n. '])}{n}{p(['', '', '/B', '/A'])}"
         return f"{p(['', '', '', 'Achter de '])}{w()}{p(['straat', 'kade', 'gracht', 'plein', 'weg', 'dijk', 'laan'])} {n}{p(['', '', self.pick('abc'), '-II', '-I'])}"
 
     def plain(self, kind: str) -> str:
@@ -184,7 +198,7 @@ class Filler:
         if kind == "product":
             return self.pick(["Kubernetes", "Python", "Excel", "Node.js", "C++", "Spring Boot", "Power BI", "TCP/IP", self.word(3, 4).capitalize(), self.word(3, 4).capitalize(), self.word(3, 4).capitalize()])
         if kind == "job":
-            return self.pick(["Data", "Field Service", "Key Account", "Cloud", "Sales", "Machine Learning", "Stage", "Payments", "Network"]) + " " + self.pick(["Engineer", "Manager", "Architect", "Consultant", "Carpenter", "Specialist", "Developer"])
+            return self.pick(["Data", "Field Service", "Key Account", "Cloud", "Sales", "Machine Learning", "Stage", "Payments", "Network", "E-Commerce", "E-Commerce", "Customer Success", "Business Development", "Quality Assurance", "Night", "Ferry", "Channel Partner"]) + " " + self.pick(["Engineer", "Manager", "Architect", "Consultant", "Carpenter", "Specialist", "Porter", "Captain", "Analyst", "Coordinator", "Developer"])
         if kind == "city":
             return self.pick(CITY)
         if kind == "n":
@@ -221,7 +235,7 @@ def sentence(pattern: str, fill: Filler) -> tuple[str, list[tuple[int, int, str]
     return out, spans
 
 
-def labelled(fills: int = 30, seed: int = 11) -> list[tuple[str, list[tuple[int, int, str]]]]:
+def labelled(fills: int = 120, seed: int = 11) -> list[tuple[str, list[tuple[int, int, str]]]]:
     """The table: every marked sentence `fills` times, between sentences without personal data, in short texts."""
     fill = Filler(seed)
     pool = [p for p in MARKED for _ in range(fills)]
@@ -231,6 +245,8 @@ def labelled(fills: int = 30, seed: int = 11) -> list[tuple[str, list[tuple[int,
     def add(pattern: str, joint: str) -> None:
         nonlocal text
         s, found = sentence(pattern, fill)
+        if not found and fill.r.random() < 0.06:
+            s = fill.pick([str.upper, str.lower, str.title])(s)
         if text:
             text += joint
         spans.extend((a + len(text), b + len(text), k) for a, b, k in found)
