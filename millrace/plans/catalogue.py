@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from millrace.plans import packed
+from importlib import import_module
 
-QUERIES: dict = {**packed.QUERIES}
-ORACLES: dict[str, str] = {**packed.ORACLES}
-FLAGSHIP = "p4_found"
+FLAGSHIP = "core_shell"
+MODULES = ("packed", "q_audit")
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+for _name in MODULES:
+    _module = import_module(f"millrace.plans.{_name}")
+    QUERIES.update(_module.QUERIES)
+    ORACLES.update(_module.ORACLES)
