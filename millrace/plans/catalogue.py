@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 FLAGSHIP = "core_shell"
-MODULES = ("packed", "q_audit")
+MODULES = ("packed", "q_audit", "q_profiles")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
