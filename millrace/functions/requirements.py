@@ -182,7 +182,7 @@ def _clauses(text: str) -> list[str] | None:
 
 def _traits(text: str) -> list[str] | None:
     """Short lists without a head: traits, or modifiers of one last noun."""
-    if MODES.search(text) or re.search(rf"\b(?:{PREPOSITION}|to|as|work)\b", text, re.I):
+    if MODES.search(text) or re.search(rf"\b(?:{PREPOSITION}|to|as|work|between)\b", text, re.I):
         return None
     parts = _pieces(text)
     if not _listlike(parts):
