@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def blank_to_null(c: str | Column) -> Column:
@@ -14,11 +15,17 @@ def blank_to_null(c: str | Column) -> Column:
 
 
 def mark_repeats(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """Add repeat_group_size, repeat_weight = 1 / size and is_repeat_first (earliest by `order`); NULL keys form groups."""
-    w = Window.partitionBy(*key)
-    first = F.row_number().over(w.orderBy(*order)) == 1
-    size = F.count(F.lit(1)).over(w)
-    return df.withColumn("repeat_group_size", size).withColumn("repeat_weight", F.lit(1.0) / F.col("repeat_group_size")).withColumn("is_repeat_first", first)
+    """Add repeat_group_size, repeat_weight = 1 / size and is_repeat_first (earliest by `order`); NULL keys form groups.
+
+    `order` must end in a unique column, so that one row is the first.
+    """
+    # Size and first row come from one aggregation with map-side combine and go back by a join, so that a key with a third
+    # of all rows is never sorted in one task.
+    stats = df.groupBy(*key).agg(F.count(F.lit(1)).alias("repeat_group_size"), F.min(F.struct(*order)).alias("__first"))
+    named = stats.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(key)], "repeat_group_size", "__first")
+    same = reduce(lambda x, y: x & y, [df[k].eqNullSafe(named[f"__k{i}"]) for i, k in enumerate(key)])
+    out = df.join(named, same).withColumn("repeat_weight", F.lit(1.0) / F.col("repeat_group_size"))
+    return out.withColumn("is_repeat_first", F.struct(*order).eqNullSafe(F.col("__first"))).drop("__first", *[f"__k{i}" for i in range(len(key))])
 
 
 def collapse_repeats(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:

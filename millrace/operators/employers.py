@@ -79,6 +79,10 @@ def self_similarity(sets: DataFrame, employer: str, unit: str, pairs: int, seed:
     Every advert gets a place on a ring per draw; its partner is the next one on the ring, so no pairs are enumerated.
     """
     w = Window.partitionBy(employer).orderBy("u", unit)
-    ring = sets.withColumn("u", uniform(F.lit(seed), unit)).withColumn("next", F.lead("items").over(w)).withColumn("r", F.row_number().over(w)).filter(F.col("next").isNotNull() & (F.col("r") <= pairs))
+    salted = sets.withColumn("u", uniform(F.lit(seed), unit)).withColumn("salt", F.pmod(F.xxhash64(unit), F.lit(32)))
+    # The first pairs + 1 places of each salt hold those of the whole ring, so a large employer is not sorted in one task.
+    first = F.row_number().over(Window.partitionBy(employer, "salt").orderBy("u", unit))
+    salted = salted.withColumn("r0", first).filter(F.col("r0") <= pairs + 1).drop("r0", "salt")
+    ring = salted.withColumn("next", F.lead("items").over(w)).withColumn("r", F.row_number().over(w)).filter(F.col("next").isNotNull() & (F.col("r") <= pairs))
     j = F.size(F.array_intersect("items", "next")) / F.size(F.array_union("items", "next"))
     return ring.groupBy(employer).agg(F.count(F.lit(1)).alias("pairs"), F.avg(j).alias("similarity"))

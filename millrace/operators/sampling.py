@@ -14,10 +14,24 @@ def rank_key(seed: str, *keys: str) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(seed), *[F.col(k).cast("string") for k in keys]), 256)
 
 
+def stratum_rank(df: DataFrame, key: str, stratum: list[str], seed: str) -> DataFrame:
+    """Add rank: the place of every row in the random order of its stratum, from 1.
+
+    The digests are uniform, so their first three digits cut a stratum into 4096 even buckets; the rank is the count of the
+    buckets before (a small table of counts) plus the place inside the bucket. No task sorts a whole stratum.
+    """
+    rows = df.withColumn("__h", rank_key(seed, key)).withColumn("__b", F.substring("__h", 1, 3))
+    counts = rows.groupBy(*stratum, "__b").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*stratum).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # at most 4096 rows a stratum
+    inside = F.row_number().over(Window.partitionBy(*stratum, "__b").orderBy("__h", key))
+    out = rows.withColumn("__r", inside).join(counts.withColumn("__before", before).drop("n"), [*stratum, "__b"])
+    return out.withColumn("rank", F.col("__before") + F.col("__r")).drop("__h", "__b", "__r", "__before").select(*df.columns, "rank")
+
+
 def alternating_split(df: DataFrame, key: str, stratum: list[str], seed: str) -> DataFrame:
     """dev or holdout: rows of a stratum in random order, every second one to holdout."""
-    w = Window.partitionBy(*stratum).orderBy(rank_key(seed, key))
-    return df.withColumn("part", F.when(F.row_number().over(w) % 2 == 0, "holdout").otherwise("dev"))
+    out = stratum_rank(df, key, stratum, seed)
+    return out.withColumn("part", F.when(F.col("rank") % 2 == 0, "holdout").otherwise("dev")).drop("rank")
 
 
 def hash_split(df: DataFrame, key: str, share: float, seed: str) -> DataFrame:
@@ -28,9 +42,12 @@ def hash_split(df: DataFrame, key: str, share: float, seed: str) -> DataFrame:
 
 def quota_sample(df: DataFrame, key: str, stratum: str, quota: dict | int, seed: str) -> DataFrame:
     """The first `quota` rows of each stratum in random order (a sampling operator: the size is its feature)."""
-    w = Window.partitionBy(stratum).orderBy(rank_key(seed, key), key)
     most = F.lit(quota) if isinstance(quota, int) else F.coalesce(F.create_map(*[x for k, v in quota.items() for x in (F.lit(k), F.lit(v))])[F.col(stratum)], F.lit(0))
-    return df.withColumn("draw", F.row_number().over(w)).filter(F.col("draw") <= most)
+    # First salt by salt, then over what is left, so that a hot stratum is never ranked in one task.
+    salted = df.withColumn("__h", rank_key(seed, key)).withColumn("__s", F.pmod(F.xxhash64(key), F.lit(64)))
+    first = salted.withColumn("draw", F.row_number().over(Window.partitionBy(stratum, "__s").orderBy("__h", key))).filter(F.col("draw") <= most)
+    last = first.withColumn("draw", F.row_number().over(Window.partitionBy(stratum).orderBy("__h", key))).filter(F.col("draw") <= most)
+    return last.drop("__h", "__s")
 
 
 def proportional_quota(df: DataFrame, stratum: str, n: int, floor: int) -> DataFrame:

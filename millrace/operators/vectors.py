@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -35,14 +37,20 @@ def centroids(df: DataFrame, label: str, vector: str) -> DataFrame:
 def best_two(df: DataFrame, key: str, vector: str, entries: DataFrame, entry: str, entry_vector: str) -> DataFrame:
     """(key, best, best_cos, second_cos): the two nearest entries by cosine; ties go to the smaller entry.
 
-    Entries are few (their number is checked); they are sent to the workers and scored as one matrix product a batch.
+    Up to SMALL_SIDE entries are sent to the workers and scored as one matrix product a batch; a longer list is taken in
+    blocks of that size and the block winners are merged.
     """
-    spark = df.sparkSession
     n = entries.count()
     if n > SMALL_SIDE:
-        raise ValueError(f"{n} entries: use nearest-neighbour search for a side of more than {SMALL_SIDE}")
+        blocks = -(-n // SMALL_SIDE)
+        parts = [best_two(df, key, vector, entries.filter(F.pmod(F.xxhash64(entry), F.lit(blocks)) == b), entry, entry_vector) for b in range(blocks)]
+        both = reduce(DataFrame.unionByName, parts)
+        top = F.array_sort(F.collect_list(F.struct((-F.col("best_cos")).alias("c"), F.col("best").alias("e"), F.col("second_cos").alias("s"))))  # one entry a block
+        merged = both.groupBy(key).agg(top.alias("t"))
+        return merged.select(key, F.col("t")[0]["e"].alias("best"), (-F.col("t")[0]["c"]).alias("best_cos"), F.greatest(F.col("t")[0]["s"], -F.get("t", F.lit(1))["c"]).alias("second_cos"))
+    spark = df.sparkSession
     rows = entries.select(entry, unit(F.col(entry_vector)).alias("v")).filter("v IS NOT NULL").orderBy(entry).collect()
-    names, matrix = [r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.float64).reshape(len(rows), -1)
+    names, matrix = [r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.float64).reshape(len(rows), -1 if rows else 0)
     sent = spark.sparkContext.broadcast((names, matrix))
     given = df.select(F.col(key), unit(F.col(vector)).alias("v")).filter("v IS NOT NULL")
 
@@ -128,7 +136,8 @@ def separation_stats(scores: DataFrame, positive: str, score: str) -> DataFrame:
     stats = scores.groupBy(positive).agg(F.avg(score).alias("m"), F.var_samp(score).alias("v"), F.count(F.lit(1)).alias("n"))
     wide = stats.agg(*[F.max(F.when(F.col(positive) == b, F.col(c))).alias(f"{c}{int(b)}") for b in (True, False) for c in ("m", "v", "n")])
     pooled = F.sqrt(((F.col("n1") - 1) * F.col("v1") + (F.col("n0") - 1) * F.col("v0")) / (F.col("n1") + F.col("n0") - 2))
-    groups = scores.groupBy(score).agg(F.count_if(F.col(positive)).alias("p"), F.count_if(~F.col(positive)).alias("q"))
+    # Scores are rounded to 6 digits for the ranks, which bounds the distinct ones.
+    groups = scores.withColumn(score, F.round(score, 6)).groupBy(score).agg(F.count_if(F.col(positive)).alias("p"), F.count_if(~F.col(positive)).alias("q"))
     below = F.coalesce(F.sum("q").over(Window.partitionBy(F.lit(1)).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     wins = groups.withColumn("below", below).agg(F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)).alias("w"))
     return wide.join(F.broadcast(wins)).select(((F.col("m1") - F.col("m0")) / pooled).alias("cohens_d"), (F.col("w") / (F.col("n1") * F.col("n0"))).alias("auc"))  # one row each

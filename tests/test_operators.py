@@ -104,6 +104,14 @@ def test_vectors_ties_zero_and_missing(spark):
     assert vectors.margin_type(spark.createDataFrame(out)).first()["type"] is None
 
 
+def test_entries_in_blocks_give_the_same(spark, folder, monkeypatch):
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet")
+    cents = vectors.centroids(rows, "label", "embedding")
+    whole = {tuple(r) for r in vectors.best_two(rows, "vec_id", "embedding", cents, "label", "centroid").collect()}
+    monkeypatch.setattr(vectors, "SMALL_SIDE", 3)
+    assert {tuple(r) for r in vectors.best_two(rows, "vec_id", "embedding", cents, "label", "centroid").collect()} == whole
+
+
 def test_one_hop_goes_up_once(spark):
     nodes = spark.createDataFrame([("a", 5), ("b", 3), ("c", 1), ("d", 3)], "id STRING, n INT")
     pairs = spark.createDataFrame([("a", "b"), ("b", "c"), ("b", "d")], "a STRING, b STRING")
