@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.functions.requirements import decompose_udf, split_udf
+from millrace.session import cut, spread
 
 
 def process(postings: DataFrame, key: str = "posting_row", items: str = "must_have", translator: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -19,14 +20,15 @@ def process(postings: DataFrame, key: str = "posting_row", items: str = "must_ha
     and the result is joined back, so repeated items cost one call.
     """
     rows = postings.select(F.col(key).alias("posting"), F.posexplode(items).alias("item_idx", "raw")).filter("trim(raw) <> ''").withColumn("item", T.clean(F.col("raw")))
-    texts = rows.select("item").distinct().withColumn("language", T.detect_language(F.col("item")))
+    texts = spread(rows.select("item").distinct()).withColumn("language", T.detect_language(F.col("item")))
     if translator is not None:
         texts = texts.join(translator(texts.filter("language <> 'en'")).select("item", "english"), "item", "left").withColumn("text", F.coalesce("english", "item")).withColumn("translated", F.col("english").isNotNull())
     else:
         texts = texts.withColumn("text", F.col("item")).withColumn("translated", F.lit(False))
+    texts = cut(texts)  # read twice below; the text functions must not run twice
     split = texts.select("text").distinct().withColumn("s", split_udf(F.col("text"))).select(F.col("text").alias("t"), "s.atoms", "s.route")
     atoms = split.select("t", "route", F.posexplode("atoms").alias("atom_idx", "atom"), F.transform("atoms", lambda a: T.nice_to_have(a)).alias("o"))
-    atoms = atoms.withColumn("optional", F.element_at("o", F.col("atom_idx") + 1)).withColumn("counts", F.element_at(T.counted(F.col("o")), F.col("atom_idx") + 1)).drop("o")
+    atoms = cut(atoms.withColumn("optional", F.element_at("o", F.col("atom_idx") + 1)).withColumn("counts", F.element_at(T.counted(F.col("o")), F.col("atom_idx") + 1)).drop("o"))
     parts = atoms.select("atom").distinct().withColumn("d", decompose_udf(F.col("atom"))).select(F.col("atom").alias("a"), "d.*")
     full = atoms.join(parts, atoms["atom"] == parts["a"]).drop("a")
     named = rows.join(texts, "item").join(full, F.col("text") == F.col("t")).drop("t", "english")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +28,15 @@ def local_session(cores: int | str = 8, app: str = "millrace", **conf: str) -> S
     return spark
 
 
+def share_path(spark: SparkSession) -> None:
+    """Let Python workers find this package where the driver found it, whatever folder the session was started in."""
+    root = str(Path(__file__).resolve().parents[1])
+    environment = spark.sparkContext.environment
+    known = environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(p for p in (root, known) if p)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder for checkpoints: the cluster's spark.checkpoint.dir; a temporary one only where none is named."""
     context = spark.sparkContext

@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from millrace.operators.explorer import advert_key
-from millrace.session import ensure_checkpoint_dir
+from millrace.session import ensure_checkpoint_dir, share_path
 
 
 def table_stream(spark: SparkSession, folder: str, name: str, files: int = 8) -> DataFrame:
     """A table as a stream of its files."""
+    share_path(spark)
     place = f"{folder}/{name}.parquet"
     stream = spark.readStream.schema(spark.read.parquet(place).schema).option("maxFilesPerTrigger", files)
     path = spark._jvm.org.apache.hadoop.fs.Path(place)
