@@ -163,7 +163,8 @@ class PhraseMatcher:
             rough = rough[1:]
         whole = glue(words)
         cut = [whole[len(w) :] for w in PHRASE_FRAMES if len(w) > 3 and whole.startswith(w) and len(whole) > len(w) + 4]
-        return list(dict.fromkeys(p for p in (whole, glue(bare), glue(rough), *sorted(cut)) if p))
+        plain = glue(re.sub(r"[(\[][^)\]]*[)\]]", " ", text).split())  # without any bracket
+        return list(dict.fromkeys(p for p in (whole, glue(bare), glue(rough), plain, *sorted(cut)) if p))
 
     def find(self, value: str | None) -> tuple[int, str] | None:
         best = None
@@ -213,7 +214,7 @@ class TitleMatcher:
             if len(self.seen) > 200_000:
                 self.seen.clear()
             tree = self.specialty if kind == "s" else self.role
-            near = [(slips(form, text) if d > 1 else d, form) for d, form in tree.within(text, 3)]
+            near = [(slips(form, text) if d > 1 else d, form) for d, form in tree.within(text, 4)]
             self.seen[kind, text] = [(d, f) for d, f in near if d <= (1 if len(f) < 7 else 2)]
         return self.seen[kind, text]
 

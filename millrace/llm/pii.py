@@ -45,6 +45,8 @@ def model(fills: int = 120, seed: int = 11) -> crf.Model:
 
 #: Signs that end a word as written; a found stretch never ends inside a word.
 _EDGE = " \t\r\n\x0b\x0c\u00a0<>(),;:\"|"
+_ENDS_IN_INITIAL = re.compile(r"^[^\s,]+ \w\.?$")
+_AFTER_INITIAL = re.compile(r"\.? (?:(?:van|de|von|di) )?[^\W\d_]+(?:-[^\W\d_]+)*", re.I)
 _ABBREVIATED = re.compile(r"\b(?:rd|st|ave|str)\.$", re.I)
 
 
@@ -86,6 +88,8 @@ def spans_of(text: str, starts: list[int], ends: list[int], path) -> list[tuple[
         a, b = _trim(text, starts[i], ends[j - 1], kind)
         if a < b:
             a, b = _snap(text, a, b, kind)
+        if kind == "name" and (m := _AFTER_INITIAL.match(text, b)) and _ENDS_IN_INITIAL.search(text[a:b]):
+            b = m.end()  # a first name and an initial are followed by the surname
         if a < b:
             # Pieces of one kind with nothing but a blank between them are one; words shared with the piece before stay there.
             if raw and raw[-1][2] == kind and (a <= raw[-1][1] or text[raw[-1][1] : a] == " "):

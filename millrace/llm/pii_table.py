@@ -34,8 +34,10 @@ MARKED = [
     "Envía tu currículum a {title_es} {last}: {email}.", "Contacto: {name}, {phone}, {email}.", "Ficha: {name}, DNI {id_es}, tel. {phone}.", "Nos encontrarás en {addr_es}, <<city>>.",
     "Un saludo\n{name}\n{email}", "Un saludo\n{name}\n{phone}",
     "Envoyez votre dossier à {title_fr} {last} ({email}).", "Contact : {name}, {phone}, {email}.", "Note d'entretien : {name}, n° de sécurité sociale {id_fr}, joignable au {phone}.", "Adresse : {addr_fr}, <<city>>.",
+    "Adresse : {addr_fr}, <<city>>.", "Notre bureau : {addr_fr}, <<city>>.", "Venez nous voir au {addr_fr}, <<city>>.", "Estamos en {addr_es}, <<city>>.",
     "Cordialement,\n{name}\n{email}", "Cordialement,\n{name}\n{phone}",
     "Invia il curriculum a {title_it} {last}, {email}.", "Contatti: {name}, {phone}, {email}.", "Scheda: {name}, documento {id_it}, residente in {addr_it}.", "Ci trovi in {addr_it}, <<city>>.",
+    "Ci trovi in {addr_it}, <<city>>.", "La nostra sede è in {addr_it}, <<city>>.", "Scheda: {name}, documento {id_it}, residente in {addr_it}.",
     "Cordiali saluti\n{name}\n{phone}", "Cordiali saluti\n{name}\n{email}",
     "Stuur je brief naar {title_nl} {last}, {email}.", "Vragen? Bel {name} op {phone} of mail naar {email}.", "Notitie: {name}, BSN {id_nl}, woont {addr_nl}.", "Bezoekadres: {addr_nl}, <<city>>.",
     "Met vriendelijke groet\n{name}\n{phone}", "Met vriendelijke groet\n{name}\n{email}",
@@ -119,13 +121,13 @@ class Filler:
 
     def name(self) -> str:
         x, f, l = self.r.random(), self.first(), self.last()
-        if x < 0.10:
+        if x < 0.14:
             f = f + "-" + self.first()
-        elif x < 0.21:
+        elif x < 0.28:
             f = f + " " + self.caps(1) + "."
-        elif x < 0.30:
+        elif x < 0.36:
             f = f[0] + "."
-        n = f"{l}, {f}" if self.r.random() < 0.15 else f"{f} {l}"
+        n = f"{l}, {f}" if self.r.random() < 0.18 else f"{f} {l}"
         y = self.r.random()
         return n.upper() if y < 0.08 else n.lower() if y < 0.17 else n
 
