@@ -43,11 +43,16 @@ def best_two(df: DataFrame, key: str, vector: str, entries: DataFrame, entry: st
     n = entries.count()
     if n > SMALL_SIDE:
         blocks = -(-n // SMALL_SIDE)
-        parts = [best_two(df, key, vector, entries.filter(F.pmod(F.xxhash64(entry), F.lit(blocks)) == b), entry, entry_vector) for b in range(blocks)]
+        parts = [_best_in_block(df, key, vector, entries.filter(F.pmod(F.xxhash64(entry), F.lit(blocks)) == b), entry, entry_vector) for b in range(blocks)]
         both = reduce(DataFrame.unionByName, parts)
         top = F.array_sort(F.collect_list(F.struct((-F.col("best_cos")).alias("c"), F.col("best").alias("e"), F.col("second_cos").alias("s"))))  # one entry a block
         merged = both.groupBy(key).agg(top.alias("t"))
         return merged.select(key, F.col("t")[0]["e"].alias("best"), (-F.col("t")[0]["c"]).alias("best_cos"), F.greatest(F.col("t")[0]["s"], -F.get("t", F.lit(1))["c"]).alias("second_cos"))
+    return _best_in_block(df, key, vector, entries, entry, entry_vector)
+
+
+def _best_in_block(df: DataFrame, key: str, vector: str, entries: DataFrame, entry: str, entry_vector: str) -> DataFrame:
+    """best_two for one block of about SMALL_SIDE entries."""
     spark = df.sparkSession
     rows = entries.select(entry, unit(F.col(entry_vector)).alias("v")).filter("v IS NOT NULL").orderBy(entry).collect()
     names, matrix = [r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.float64).reshape(len(rows), -1 if rows else 0)
