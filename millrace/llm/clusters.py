@@ -1,7 +1,7 @@
 """Groups of records that say the same, by power-iteration spectral clustering.
 
-1. A phrase is read as a subject (rare words, written as one string) and a use (words common in the corpus); the words
-   that only frame a wish are set aside. Phrases that agree in both are one node.
+1. A phrase is read as a subject (words with few partners, written as one string) and a use (words that stand with many
+   different others); the words that only frame a wish are set aside. Phrases that agree in both are one node.
 2. Sparse affinities: nodes of one block (same group and use) that share a 4-letter run at about the same place and whose
    subjects are at most two slips apart; the weight falls with the number of slips.
 3. Power iteration: several random vectors are multiplied again and again with the row-normalised affinity matrix, one join
@@ -36,8 +36,9 @@ FRAMES = frozenset(
     "that the their them thorough to track tried understanding up use used user using very was well were versed with within "
     "work worked working years year your you".split()
 )
-#: A word counts as common if this share of all phrases holds it; so there are at most (words per phrase) / COMMON of them.
-COMMON = 0.004
+#: A word counts as common if it stands with at least (number of words) ** PARTNERS different words. How often it stands
+#: there plays no part: a product in many phrases still has only its other half, slips of it and its uses as partners.
+PARTNERS = 0.4
 VECTORS = 6
 ROUNDS = 8
 KMEANS_ROUNDS = 3
@@ -114,10 +115,11 @@ def read_phrases(df: DataFrame, phrase: str, text: str, group: str) -> DataFrame
             yield pd.DataFrame({"words": words})
 
     rows = spread(rows)
-    total = rows.count()
-    least = max(3, COMMON * total)
-    words = rows.select("text").mapInPandas(tokens, "words ARRAY<STRING>").select(F.explode("words").alias("word"))
-    common = words.groupBy("word").count().filter(F.col("count") >= least).select("word").orderBy("word").collect()  # bounded by COMMON
+    sets = cut(rows.select("text").mapInPandas(tokens, "words ARRAY<STRING>").distinct())
+    words = sets.select(F.explode("words").alias("word"), "words")
+    total = words.select("word").distinct().count()
+    partners = words.select("word", F.explode("words").alias("other")).filter("word <> other").distinct()
+    common = partners.groupBy("word").count().filter(F.col("count") >= total**PARTNERS).select("word").orderBy("word").collect()  # at most (mean partners) x total ** (1 - PARTNERS)
     sent = rows.sparkSession.sparkContext.broadcast(Reader([r["word"] for r in common]))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

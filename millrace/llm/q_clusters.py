@@ -14,8 +14,11 @@ def _members(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Every pair of phrases of one head group that ask for the same product and use: all pairs of each cluster."""
-    members = _members(spark, folder).filter("subject <> ''").select("id", "cluster")
+    """Every pair of phrases of one head group that ask for the same product and use: all pairs of each cluster.
+
+    A phrase made of common words alone is paired with those of the same words; one of frame words alone names nothing.
+    """
+    members = _members(spark, folder).filter("subject <> '' OR use <> ''").select("id", "cluster")
     a = members.select(F.col("id").alias("phrase_a"), "cluster")
     b = members.select(F.col("id").alias("phrase_b"), "cluster")
     return a.join(b, "cluster").filter("phrase_a < phrase_b").select("phrase_a", "phrase_b")

@@ -3,6 +3,7 @@ from itertools import combinations
 import pytest
 
 from millrace.llm.clusters import Reader, cluster_phrases, describe
+from millrace.llm.q_clusters import p5_found
 
 SCHEMA = "phrase_id BIGINT, atom_norm STRING, head_group STRING, cluster STRING, text STRING"
 USES = ["price lists", "payroll runs", "reporting", "load testing"]
@@ -57,3 +58,19 @@ def test_reader_repairs_slips_and_glued_words():
     assert r.read("gamutoferali pricelists") == ("list price", "gamutoferali")
     assert r.read("able to run payroll run in gamuto ferali") == ("payroll run", "gamutoferali")
     assert r.read(None) == ("", "")
+
+
+def test_a_product_in_many_phrases_stays_a_product(spark, tmp_path):
+    """Every product word is in 4 of 24 phrases or more, far over any share; it has few partners all the same."""
+    names = ["gamuto ferali", "brosti kenaro", "vipela sodranu", "tulemi gorasta", "nekrova pelidu", "mozuri talene"]
+    texts = [t for n in names for u in ("price lists", "load testing") for t in (f"experience with {n} {u}", f"{n} {u} knowledge")]
+    rows = [(i, t, "experience") for i, t in enumerate(texts)] + [(900, "very good experience", "experience"), (901, "good experience", "experience")]
+    spark.createDataFrame(rows, "phrase_id BIGINT, atom_norm STRING, head_group STRING").write.parquet(f"{tmp_path}/phrases.parquet")
+    got = {(r["phrase_a"], r["phrase_b"]) for r in p5_found(spark, str(tmp_path)).collect()}
+    assert got == {(i, i + 1) for i in range(0, 24, 2)}
+
+
+def test_phrases_of_common_words_alone_are_paired(spark, tmp_path):
+    rows = [(1, "aa bb experience", "x"), (2, "experience with bb aa", "x"), (3, "aa cc", "x"), (4, "aa dd", "x"), (5, "bb cc", "x"), (6, "bb dd", "x")]
+    spark.createDataFrame(rows, "phrase_id BIGINT, atom_norm STRING, head_group STRING").write.parquet(f"{tmp_path}/phrases.parquet")
+    assert [tuple(r) for r in p5_found(spark, str(tmp_path)).collect()] == [(1, 2)]
