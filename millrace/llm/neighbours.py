@@ -144,3 +144,46 @@ def nearest(df: DataFrame, vec: str = "vec_id", embedding: str = "embedding", k:
     pairs = pairs.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
     order = Window.partitionBy("a").orderBy(F.desc(F.round("cosine", 9)), "b")
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def nearest_exact(df: DataFrame, queries: DataFrame, vec: str = "vec_id", embedding: str = "embedding", k: int = 10, block: int = LEAF) -> DataFrame:
+    """The k nearest others of every id in `queries` (one column), however far they are; ties go to the smaller id.
+
+    Every block of queries is scored against every block of vectors, so nothing is missed; the cost is queries x vectors.
+    Result and treatment of unusable vectors, other lengths and repeated ids as in `nearest`.
+    """
+    spark = df.sparkSession
+    rows = usable(df, vec, embedding)
+    rows = rows.groupBy("id").agg(F.min(F.struct("e", "n")).alias("x")).select("id", "x.e", "x.n").withColumn("dim", F.size("e"))
+    rows = cut(rows)
+    size = rows.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
+    schema = rows.schema["id"].dataType.simpleString()
+    if size is None:
+        return spark.createDataFrame([], f"a {schema}, b {schema}, cosine DOUBLE, rank INT")
+    dim = size["dim"]
+    rows = rows.filter(F.col("dim") == dim).select("id", F.transform("e", lambda x: x / F.col("n")).alias("v"))
+    asked = cut(rows.join(queries.toDF("id").distinct(), "id", "left_semi"))
+    blocks, parts = max(1, math.ceil(size["count"] / block)), max(1, math.ceil(asked.count() / block))
+    place = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    left = asked.withColumn("p", place(parts)).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = rows.withColumn("q", place(blocks)).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+
+    def score(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(x) and len(y):
+            y = y.sort_values("id")
+            ids, m = y["id"].to_numpy(), np.stack(y["v"].to_numpy()).T
+            for at in range(0, len(x), 256):
+                part = x.iloc[at : at + 256]
+                own = part["id"].to_numpy()
+                c = np.round(np.stack(part["v"].to_numpy()) @ m, 9)
+                c[own[:, None] == ids[None, :]] = -np.inf
+                best = np.argsort(-c, axis=1, kind="stable")[:, :k]
+                n = best.shape[1]
+                out.append(pd.DataFrame({"a": np.repeat(own, n), "b": ids[best.reshape(-1)], "cosine": np.take_along_axis(c, best, 1).reshape(-1)}))
+        found = pd.concat(out) if out else pd.DataFrame({"a": x["id"], "b": x["id"], "cosine": 0.0}).head(0)
+        return found[np.isfinite(found["cosine"])]
+
+    pairs = left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInPandas(score, f"a {schema}, b {schema}, cosine DOUBLE")
+    order = Window.partitionBy("a").orderBy(F.desc("cosine"), "b")
+    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.neighbours import nearest
+from millrace.llm.neighbours import nearest, nearest_exact
 from millrace.sources.tables import table
 
 
@@ -17,9 +17,9 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_neighbours(spark: SparkSession, folder: str) -> DataFrame:
-    """For every phrase whose id is divisible by 20, its most similar phrases of cosine 0.90 or more, with their cosine."""
+    """For every phrase whose id is divisible by 20, its ten most similar phrases, however far, with their cosine."""
     rows = table(spark, folder, "phrase_vectors").select("vec_id", "atom_norm", "embedding")
-    near = nearest(rows, k=10, least=0.9).filter(F.col("a") % 20 == 0)
+    near = nearest_exact(rows, rows.filter("vec_id % 20 = 0").select("vec_id"), k=10)
     names = rows.groupBy("vec_id").agg(F.min("atom_norm").alias("atom_norm"))
     out = near.join(names.withColumnsRenamed({"vec_id": "a", "atom_norm": "phrase"}), "a")
     out = out.join(names.withColumnsRenamed({"vec_id": "b", "atom_norm": "via"}), "b")

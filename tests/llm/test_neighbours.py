@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from millrace.llm.neighbours import nearest
+from millrace.llm.neighbours import nearest, nearest_exact
 
 SCHEMA = "vec_id BIGINT, embedding ARRAY<FLOAT>, a STRING, cosine DOUBLE"
 
@@ -58,3 +58,11 @@ def test_a_full_node_is_cut_into_blocks(spark):
     m = np.abs(r.standard_normal((60, 4))) * 0.001 + np.array([1.0, 1.0, 1.0, 1.0])  # all share every bit
     got = {(x["a"], x["b"]) for x in nearest(frame(spark, m), k=4, least=0.9, leaf=10).collect()}
     assert got == brute(range(60), m.astype(np.float32).astype(float), 4, 0.9)
+
+
+def test_the_k_nearest_need_no_floor(spark, vectors):
+    rows = frame(spark, vectors, [(990, None, "x", 0.0), (991, [0.0] * 16, "x", 0.0), (992, [1.0], "x", 0.0)])
+    ids = spark.createDataFrame([(i,) for i in [*range(0, len(vectors), 20), 990, 991, 992]], "id BIGINT")
+    got = {(r["a"], r["b"]) for r in nearest_exact(rows, ids, k=10, block=100).collect()}
+    assert got == {p for p in brute(range(len(vectors)), vectors.astype(float), 10, -1.0) if p[0] % 20 == 0}
+    assert len(got) == 10 * len(range(0, len(vectors), 20))
