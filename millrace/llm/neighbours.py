@@ -8,7 +8,8 @@ from the depth, so that a pair of the stated similarity shares a leaf in at leas
 
 Inside a leaf all candidates are scored by blocked matrix products. A node with more than `leaf` vectors at full depth is
 cut into blocks, and every pair of blocks is scored, so no candidate is dropped. Vectors of equal direction are collapsed
-first; only the k + 1 smallest ids of such a group can be among anyone's k nearest, so larger groups cost nothing.
+first; only the k + 1 smallest ids of such a group can be among anyone's k nearest. The others are joined back as queries:
+the k nearest of each are the k smallest ids of its own direction.
 """
 
 from __future__ import annotations
@@ -62,9 +63,10 @@ def nearest(df: DataFrame, vec: str = "vec_id", embedding: str = "embedding", k:
     place = F.row_number().over(Window.partitionBy("dir", "dim", "part").orderBy("id"))
     # Two-step cut to the k + 1 smallest ids of a direction: salted first, so that a hot direction is spread.
     rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(64)).cast("int"))
+    every = cut(rows.select("id", "dir", "dim"))
     rows = rows.withColumn("r", place).filter(F.col("r") <= k + 1)
     place = F.row_number().over(Window.partitionBy("dir", "dim").orderBy("id"))
-    rows = cut(rows.withColumn("r", place).filter(F.col("r") <= k + 1).select("id", "e", "dim"))
+    rows = cut(rows.withColumn("r", place).filter(F.col("r") <= k + 1).select("id", "e", "dim", "dir", "r"))
     size = rows.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
     schema = rows.schema["id"].dataType.simpleString()
     if size is None:
@@ -143,7 +145,10 @@ def nearest(df: DataFrame, vec: str = "vec_id", embedding: str = "embedding", k:
     pairs = placed.groupBy("tree", "depth", "node", "lo", "hi").applyInPandas(score, f"a {schema}, b {schema}, cosine DOUBLE")
     pairs = pairs.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
     order = Window.partitionBy("a").orderBy(F.desc(F.round("cosine", 9)), "b")
-    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    best = pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    copies = every.filter(F.col("dim") == dim).join(rows.select("id"), "id", "left_anti").withColumnRenamed("id", "a")
+    firsts = rows.filter(F.col("r") <= k).select("dir", "dim", F.col("id").alias("b"), F.col("r").alias("rank"))
+    return best.unionByName(copies.join(firsts, ["dir", "dim"]).select("a", "b", F.lit(1.0).alias("cosine"), "rank"))
 
 
 def nearest_exact(df: DataFrame, queries: DataFrame, vec: str = "vec_id", embedding: str = "embedding", k: int = 10, block: int = LEAF) -> DataFrame:

@@ -66,3 +66,11 @@ def test_the_k_nearest_need_no_floor(spark, vectors):
     got = {(r["a"], r["b"]) for r in nearest_exact(rows, ids, k=10, block=100).collect()}
     assert got == {p for p in brute(range(len(vectors)), vectors.astype(float), 10, -1.0) if p[0] % 20 == 0}
     assert len(got) == 10 * len(range(0, len(vectors), 20))
+
+
+def test_every_copy_has_neighbours(spark):
+    rows = spark.createDataFrame([(i, [1.0 + i, 0.0, 0.0], "x", 0.0) for i in range(40)], SCHEMA)
+    got = {}
+    for r in nearest(rows, k=3, least=0.9).collect():
+        got.setdefault(r["a"], []).append((r["rank"], r["b"]))
+    assert {a: sorted(b) for a, b in got.items()} == {a: list(enumerate([b for b in range(5) if b != a][:3], 1)) for a in range(40)}
