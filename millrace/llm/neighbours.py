@@ -2,11 +2,10 @@
 
 Each tree gives every vector a long bit string (signs of random projections). Sorted by it, the vectors that share a long
 prefix stand together. A query descends each tree to the longest prefix that it shares with others and ascends, the same
-way in all trees, until the prefix holds enough candidates: the node reached is the deepest one with more than
-`leaf` / 2 vectors, and never more than `leaf` unless more vectors than that share all bits. The number of trees follows
-from the depth, so that a pair of the stated similarity shares a leaf in at least one tree with the stated probability.
+way in all trees, until the prefix holds enough candidates. It never descends below the depth that the number of trees was
+sized for; a node that holds more than `leaf` vectors there stays whole. The number of trees follows from that depth, so that a pair of the stated similarity shares a leaf in at least one tree with the stated probability.
 
-Inside a leaf all candidates are scored by blocked matrix products. A node with more than `leaf` vectors at full depth is
+Inside a leaf all candidates are scored by blocked matrix products. A node with more than `leaf` vectors at that depth is
 cut into blocks, and every pair of blocks is scored, so no candidate is dropped. Vectors of equal direction are collapsed
 first; only the k + 1 smallest ids of such a group can be among anyone's k nearest. The others are joined back as queries:
 the k nearest of each are the k smallest ids of its own direction.
@@ -73,7 +72,8 @@ def nearest(df: DataFrame, vec: str = "vec_id", embedding: str = "embedding", k:
         return spark.createDataFrame([], f"a {schema}, b {schema}, cosine DOUBLE, rank INT")
     dim, count = size["dim"], size["count"]
     typical = max(0, math.ceil(math.log2(count / leaf)))  # depth of an evenly filled tree
-    trees = trees_needed(typical + 1 if typical else 0, least, recall)  # one level deeper, for nodes fuller than most
+    deepest = min(BITS, typical + 1) if typical else 0  # one level deeper, for nodes fuller than most
+    trees = trees_needed(deepest, least, recall)
     planes = _planes(dim, trees, seed)
     sent = spark.sparkContext.broadcast(planes.astype(np.float32))
 
@@ -100,7 +100,7 @@ def nearest(df: DataFrame, vec: str = "vec_id", embedding: str = "embedding", k:
     full = cut(leaves.groupBy("tree", "node").count().filter(F.col("count") > leaf).select("tree", "node"))
     depth = typical
     splits: list[DataFrame] = []
-    while depth < BITS and not full.isEmpty():
+    while depth < deepest and not full.isEmpty():
         splits.append(full.withColumn("depth", F.lit(depth)))
         depth += 1
         inside = hashed.select("tree", prefix(depth - 1).alias("node"), prefix(depth).alias("child")).join(full, ["tree", "node"])
@@ -113,7 +113,7 @@ def nearest(df: DataFrame, vec: str = "vec_id", embedding: str = "embedding", k:
             F.when(F.col("d").isNotNull(), leaves["depth"] + 1).otherwise(leaves["depth"]).alias("depth"),
             F.when(F.col("d").isNotNull(), F.expr(f"shiftright(code, {BITS} - depth - 1)")).otherwise(leaves["node"]).alias("node"),
         )
-    # Nodes that stay overfull at full depth are cut into blocks; block pairs (i, j) cover all their pairs.
+    # Nodes that stay overfull at the deepest level are cut into blocks; block pairs (i, j) cover all their pairs.
     sizes = leaves.groupBy("tree", "depth", "node").count().select("tree", "depth", "node", F.ceil(F.col("count") / leaf).cast("int").alias("blocks"))
     placed = leaves.join(sizes, ["tree", "depth", "node"])
     own = F.pmod(F.xxhash64("id"), F.col("blocks").cast("bigint")).cast("int")

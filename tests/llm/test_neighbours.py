@@ -74,3 +74,11 @@ def test_every_copy_has_neighbours(spark):
     for r in nearest(rows, k=3, least=0.9).collect():
         got.setdefault(r["a"], []).append((r["rank"], r["b"]))
     assert {a: sorted(b) for a, b in got.items()} == {a: list(enumerate([b for b in range(5) if b != a][:3], 1)) for a in range(40)}
+
+
+def test_a_tight_cluster_keeps_the_recall(spark):
+    r = np.random.default_rng(5)
+    m = np.concatenate([r.standard_normal((400, 16)), r.standard_normal((1, 16)) + 0.22 * r.standard_normal((200, 16))]).astype(np.float32)
+    got = {(x["a"], x["b"]) for x in nearest(frame(spark, m), k=5, least=0.9, leaf=16).collect()}
+    expected = brute(range(600), m.astype(float), 5, 0.9)
+    assert len(expected) > 900 and len(got & expected) >= 0.99 * len(expected)
