@@ -34,12 +34,17 @@ def one_token_apart(df: DataFrame, key: str) -> DataFrame:
 
 
 def vocabulary_overlap(df: DataFrame, group: str, text: str, least: float) -> DataFrame:
-    """Pairs of groups whose member words overlap by Jaccard `least` or more; words of over a tenth of the groups do not pair."""
+    """Pairs of groups whose member words overlap by Jaccard `least` or more.
+
+    Exact prefix filter: with its words ordered from rare to common, a group of n words shares one of the first
+    n - ceil(least n) + 1 with every group that overlaps enough; a word in many groups pairs only where it is that early.
+    """
     words = df.select(group, F.explode(F.split(F.lower(text), r"[^\p{L}\p{N}+#]+")).alias("word")).filter("length(word) > 1").distinct()
-    sizes = words.groupBy(group).agg(F.count(F.lit(1)).alias("size"))
-    total = sizes.count()
-    rare = words.groupBy("word").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") <= F.lit(max(2.0, total / 10)))
-    keyed = words.join(rare.select("word"), "word")
+    held = words.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    ranked = words.join(held, "word").groupBy(group).agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("s"))
+    n = F.size("s")
+    prefix = n - F.ceil(F.lit(least - 1e-6) * n).cast("int") + 1  # overlaps are compared rounded to 6 digits
+    keyed = ranked.select(group, F.explode(F.slice("s", F.lit(1), F.least(n, prefix))).alias("x")).select(group, F.col("x.word").alias("word"))
     pairs = keyed.select(F.col(group).alias("a"), "word").join(keyed.select(F.col(group).alias("b"), "word"), "word").filter("a < b").select("a", "b").distinct()
     sets = words.groupBy(group).agg(F.collect_set("word").alias("s"))
     both = pairs.join(sets.select(F.col(group).alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col(group).alias("b"), F.col("s").alias("sb")), "b")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
-from millrace.operators import base, dictionary, employers, explorer, graph, process, profiles, runs, sampling, vectors
+from millrace.operators import base, dictionary, employers, explorer, graph, groups, process, profiles, runs, sampling, vectors
 from millrace.sources import readers, sinks
 from millrace.streaming import admission
 
@@ -259,3 +259,12 @@ def test_admission_counts_an_advert_once_over_batches(spark, tmp_path):
     spark.createDataFrame([(4, "x", "t", "j2", ["c"]), (5, "y", "t", "j2", ["c"])], schema).coalesce(1).write.mode("append").parquet(str(src))
     admission.admit(read(), place)
     assert sorted(r["posting_row"] for r in spark.read.parquet(f"{place}/adverts").collect()) == [1, 3, 5]
+
+
+def test_overlap_through_frequent_words(spark):
+    """Every word stands in more than a tenth of the groups; all pairs are found all the same."""
+    sets = {f"g{i:02}": {f"w{j}" for j in range(12) if (i * 7 + j * 5) % 4 < 2 or (i + j) % 5 == 0} for i in range(24)}
+    rows = spark.createDataFrame([(g, w) for g, s in sets.items() for w in s], "g STRING, t STRING")
+    expected = {(a, b): round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6) for a in sets for b in sets if a < b}
+    got = {(r["a"], r["b"]): r["jaccard"] for r in groups.vocabulary_overlap(rows, "g", "t", 0.25).collect()}
+    assert got == {p: j for p, j in expected.items() if j >= 0.25} and got
