@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -83,17 +86,32 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
 
 
 def binomial_tail(n: Column, k: Column, p: Column) -> Column:
-    """P(X >= k) for X ~ B(n, p), by the recurrence of the terms from 0 up to k - 1."""
-    first = F.pow(1 - p, n)
-    steps = F.when(k > 1, F.sequence(F.lit(1), (k - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
-    start = F.struct(first.alias("t"), first.alias("s"))
+    """P(X >= k) for X ~ B(n, p), any n: the terms are summed from their logarithms, so none underflows by itself.
 
-    def step(a: Column, i: Column) -> Column:
-        t = a["t"] * (n - i + 1) / i * p / (1 - p)
-        return F.struct(t.alias("t"), (a["s"] + t).alias("s"))
+    The shorter and smaller side is summed: the terms from k up beyond the mean, else one less those below k.
+    """
 
-    below = F.aggregate(steps, start, step)["s"]
-    return F.when(k <= 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), 1 - below))
+    @F.pandas_udf("double")
+    def tail(n: pd.Series, k: pd.Series, p: pd.Series) -> pd.Series:
+        def terms(n: int, i: int, end: int, p: float) -> float:
+            log = [math.lgamma(n + 1) - math.lgamma(x + 1) - math.lgamma(n - x + 1) + x * math.log(p) + (n - x) * math.log1p(-p) for x in range(i, end)]
+            return math.fsum(math.exp(t) for t in log)
+
+        def one(n: float, k: float, p: float) -> float | None:
+            if any(pd.isna(x) for x in (n, k, p)):
+                return None
+            n, k = int(n), int(k)
+            if k <= 0:
+                return 1.0
+            if k > n or p <= 0:
+                return 0.0
+            if p >= 1:
+                return 1.0
+            return min(1.0, terms(n, k, n + 1, p)) if k > n * p else max(0.0, 1 - terms(n, 0, k, p))
+
+        return pd.Series([one(*x) for x in zip(n, k, p, strict=True)], dtype="float64")
+
+    return tail(n.cast("double"), k.cast("double"), p.cast("double"))
 
 
 def judge_light(flagged: Column, answered: Column, ref_flagged: Column, ref_answered: Column) -> Column:

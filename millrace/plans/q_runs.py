@@ -115,13 +115,13 @@ def wilson(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def binomial_tail(spark: SparkSession, folder: str) -> DataFrame:
-    """P(X >= damaged) of every job with few items if 4 percent were the rule."""
-    per = table(spark, folder, "requirements").groupBy("job").agg(F.least(F.count_if(F.col("route") == "damaged"), F.lit(8)).alias("k"))
-    return per.select("job", "k", F.round(R.binomial_tail(F.lit(60), F.col("k"), F.lit(0.04)), 9).alias("tail"))
+    """P(X >= damaged) of every job, with its own number of items, if 4 percent were the rule."""
+    per = table(spark, folder, "requirements").groupBy("job").agg(F.count_if(F.col("route") == "damaged").alias("k"), F.count(F.lit(1)).alias("n"))
+    return per.select("job", "k", F.round(R.binomial_tail(F.col("n"), F.col("k"), F.lit(0.04)), 9).alias("tail"))
 
 
 def judge_light(spark: SparkSession, folder: str) -> DataFrame:
-    per = table(spark, folder, "requirements").groupBy("job").agg(F.least(F.count_if(F.col("route") == "damaged"), F.lit(9)).alias("flagged"), F.least(F.count(F.lit(1)), F.lit(80)).alias("answered"))
+    per = table(spark, folder, "requirements").groupBy("job").agg(F.count_if(F.col("route") == "damaged").alias("flagged"), F.count(F.lit(1)).alias("answered"))
     return per.select("job", "flagged", "answered", R.judge_light(F.col("flagged"), F.col("answered"), F.lit(4), F.lit(100)).alias("light"))
 
 

@@ -1,6 +1,7 @@
 """Relational operators on fixtures with results worked out by hand, and properties that must hold."""
 
 import math
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from millrace.functions import text as T
 from millrace.operators import base, dictionary, employers, explorer, graph, groups, process, profiles, runs, sampling, vectors
 from millrace.sources import readers, sinks
+from millrace.plans import q_runs
 from millrace.streaming import admission
 
 
@@ -268,3 +270,16 @@ def test_overlap_through_frequent_words(spark):
     expected = {(a, b): round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6) for a in sets for b in sets if a < b}
     got = {(r["a"], r["b"]): r["jaccard"] for r in groups.vocabulary_overlap(rows, "g", "t", 0.25).collect()}
     assert got == {p: j for p, j in expected.items() if j >= 0.25} and got
+
+
+def test_jobs_are_judged_on_their_own_counts(spark, tmp_path):
+    rows = [("a", "damaged" if i < 119 else "rules") for i in range(2694)] + [("b", "damaged" if i < 40 else "rules") for i in range(400)] + [("c", "rules")] * 5
+    spark.createDataFrame(rows, "job STRING, route STRING").write.parquet(f"{tmp_path}/requirements.parquet")
+    light = {r["job"]: (r["flagged"], r["answered"], r["light"]) for r in q_runs.judge_light(spark, str(tmp_path)).collect()}
+    assert light == {"a": (119, 2694, "green"), "b": (40, 400, "red"), "c": (0, 5, "grey")}
+    tail = {r["job"]: (r["k"], r["tail"]) for r in q_runs.binomial_tail(spark, str(tmp_path)).collect()}
+    exact = lambda n, k: float(1 - sum(math.comb(n, i) * Fraction(1, 25) ** i * Fraction(24, 25) ** (n - i) for i in range(k)))
+    assert {j: k for j, (k, _) in tail.items()} == {"a": 119, "b": 40, "c": 0}
+    assert tail["a"][1] == pytest.approx(exact(2694, 119), abs=2e-9) and tail["b"][1] == pytest.approx(exact(400, 40), abs=2e-9) and tail["c"][1] == 1.0
+    far = spark.createDataFrame([(200_000, 8_000)], "n INT, k INT").select(runs.binomial_tail(F.col("n"), F.col("k"), F.lit(0.04)).alias("t")).first()["t"]
+    assert 0.45 < far < 0.55  # (1 - p) ^ n alone would be 0
