@@ -113,6 +113,16 @@ def overlap_kept(shares: DataFrame, cell: str, cluster: str, origin: str, target
     return both.select(F.lit(origin).alias("origin"), F.lit(target).alias("target"), F.when(ok, F.col("m") / F.col("s")).alias("kept"))
 
 
+def overlaps_kept(shares: DataFrame, fn: str, cell: str, cluster: str, floor: int) -> DataFrame:
+    """`overlap_kept` of all ordered pairs of cells of every fn in one pass."""
+    cells = shares.groupBy(fn, cell).agg(F.sum("share").alias("s"), F.max("total").alias("t"))
+    pairs = cells.select(fn, F.col(cell).alias("origin"), F.col("t").alias("ta")).join(cells.select(fn, F.col(cell).alias("target"), "s", F.col("t").alias("tb")), fn).filter("origin <> target")
+    a, b = (shares.select(fn, cluster, F.col(cell).alias(c), F.col("share").alias(v)) for c, v in (("origin", "a"), ("target", "b")))
+    both = a.join(b, [fn, cluster]).filter("origin <> target").groupBy(fn, "origin", "target").agg(F.sum(F.least("a", "b")).alias("m"))
+    ok = (F.col("ta") >= floor) & (F.col("tb") >= floor)
+    return pairs.join(both, [fn, "origin", "target"], "left").select(fn, "origin", "target", F.when(ok, F.coalesce("m", F.lit(0.0)) / F.col("s")).alias("kept"))
+
+
 def share_deltas(shares: DataFrame, cell: str, cluster: str, origin: str, target: str, top: int) -> DataFrame:
     """The clusters that gain and lose most share between two cells (the report's `top` of each side)."""
     a = shares.filter(F.col(cell) == origin).select(cluster, F.col("share").alias("a"))

@@ -28,11 +28,11 @@ def cap_per_employer(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def employer_unit(spark: SparkSession, folder: str) -> DataFrame:
-    """Share of adverts and share of companies that ask for each group, in one industry."""
-    one = facts(spark, folder).filter("industry = 'MACHINERY'")
-    totals = one.agg(F.count_distinct("posting").alias("p"), F.count_distinct("company").alias("c"))
-    out = one.groupBy("cluster").agg(F.count_distinct("posting").alias("postings"), F.count_distinct("company").alias("companies"))
-    return out.join(F.broadcast(totals)).select("cluster", F.round(F.col("postings") / F.col("p"), 6).alias("posting_share"), F.round(F.col("companies") / F.col("c"), 6).alias("company_share"))  # one row of totals
+    """Share of adverts and share of companies that ask for each group, in every industry."""
+    rows = facts(spark, folder)
+    totals = rows.groupBy("industry").agg(F.count_distinct("posting").alias("p"), F.count_distinct("company").alias("c"))
+    out = rows.groupBy("industry", "cluster").agg(F.count_distinct("posting").alias("postings"), F.count_distinct("company").alias("companies"))
+    return out.join(totals, "industry").select("industry", "cluster", F.round(F.col("postings") / F.col("p"), 6).alias("posting_share"), F.round(F.col("companies") / F.col("c"), 6).alias("company_share"))
 
 
 def content_dedup_exact(spark: SparkSession, folder: str) -> DataFrame:
@@ -49,9 +49,10 @@ def employer_self_similarity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def connected_components(spark: SparkSession, folder: str) -> DataFrame:
-    """Components of parts that stand in one order line pair of the same price class."""
-    edges = table(spark, folder, "lineitem").filter("l_linenumber <= 2 AND l_quantity >= 48").groupBy("l_orderkey").agg(F.min("l_partkey").alias("a"), F.max("l_partkey").alias("b")).filter("a < b")
-    return G.connected_components(edges.select("a", "b"))
+    """Components of parts that stand in one order; all lines count, each part is linked to the smallest of its order."""
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_partkey").distinct()
+    first = lines.groupBy("l_orderkey").agg(F.min("l_partkey").alias("a"))
+    return G.connected_components(lines.join(first, "l_orderkey").select("a", F.col("l_partkey").alias("b")).filter("a < b"))
 
 
 def alias_apply(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -107,11 +106,9 @@ def career_delta(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def geo_overlap(spark: SparkSession, folder: str) -> DataFrame:
-    """Share of a nation's profile that another nation covers, within one industry."""
-    one = facts(spark, folder).filter("industry = 'MACHINERY'")
-    shares = P.cell_profiles(one, "nation", "cluster", "posting")
-    pairs = [("NATION_0", "NATION_1"), ("NATION_1", "NATION_0"), ("NATION_2", "NATION_3")]
-    return _r(reduce(DataFrame.unionByName, [P.overlap_kept(shares, "nation", "cluster", a, b, 60) for a, b in pairs]), "kept")
+    """Share of a nation's profile that another nation covers, for all pairs of nations within every industry."""
+    shares = P.cell_shares(facts(spark, folder), "industry", "nation", "cluster", "posting")
+    return _r(P.overlaps_kept(shares, "industry", "nation", "cluster", 60), "kept")
 
 
 def residual_by_function(spark: SparkSession, folder: str) -> DataFrame:

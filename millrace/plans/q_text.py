@@ -80,7 +80,9 @@ def loo_verdict(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def expected_missing(spark: SparkSession, folder: str) -> DataFrame:
-    return X.expected_missing(facts(spark, folder).filter("industry = 'MACHINERY'"), "level", "posting", "type", 0.45)
+    """What the adverts of one industry and level mostly ask for and an advert does not, over all industries."""
+    rows = facts(spark, folder).withColumn("role", F.struct("industry", "level"))
+    return X.expected_missing(rows, "role", "posting", "type", 0.45)
 
 
 def saturation_curve(spark: SparkSession, folder: str) -> DataFrame:

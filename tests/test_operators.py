@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from millrace.functions import text as T
 from millrace.operators import base, dictionary, employers, explorer, graph, groups, process, profiles, runs, sampling, vectors
 from millrace.sources import readers, sinks
-from millrace.plans import q_runs
+from millrace.plans import q_groups, q_profiles, q_runs, q_text
 from millrace.streaming import admission
 
 
@@ -283,3 +283,23 @@ def test_jobs_are_judged_on_their_own_counts(spark, tmp_path):
     assert tail["a"][1] == pytest.approx(exact(2694, 119), abs=2e-9) and tail["b"][1] == pytest.approx(exact(400, 40), abs=2e-9) and tail["c"][1] == 1.0
     far = spark.createDataFrame([(200_000, 8_000)], "n INT, k INT").select(runs.binomial_tail(F.col("n"), F.col("k"), F.lit(0.04)).alias("t")).first()["t"]
     assert 0.45 < far < 0.55  # (1 - p) ^ n alone would be 0
+
+
+def test_components_use_all_lines(spark, tmp_path):
+    rows = [(1, 10, 1, 5.0), (1, 11, 2, 1.0), (1, 12, 5, 50.0), (2, 12, 7, 2.0), (2, 13, 1, 3.0), (3, 20, 1, 50.0), (4, 30, 1, 1.0), (4, 31, 3, 1.0)]
+    spark.createDataFrame(rows, "l_orderkey BIGINT, l_partkey BIGINT, l_linenumber INT, l_quantity DOUBLE").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert {tuple(r) for r in q_groups.connected_components(spark, str(tmp_path)).collect()} == {(10, 10), (11, 10), (12, 10), (13, 10), (30, 30), (31, 30)}
+
+
+def test_every_industry_counts(spark, monkeypatch):
+    rows = [(f"{i}{n}{p}", f"{i}{n}{p % 7}", i, n, "1", c, c) for i in ("MACHINERY", "BUILDING") for n in "XYZ" for p in range(60) for c in ("k", n if p % 2 else "l") if not (p == 0 and c == "k")]
+    df = spark.createDataFrame(rows, "posting STRING, company STRING, industry STRING, nation STRING, level STRING, cluster STRING, type STRING")
+    for q in (q_groups, q_text, q_profiles):
+        monkeypatch.setattr(q, "facts", lambda *_: df)
+    unit = {(r["industry"], r["cluster"]): r["posting_share"] for r in q_groups.employer_unit(spark, "").collect()}
+    assert len(unit) == 10 and unit["BUILDING", "k"] == round(177 / 180, 6) and unit["MACHINERY", "l"] == 0.5
+    missing = {tuple(r) for r in q_text.expected_missing(spark, "").collect()}
+    expected = {(p, "k") for p in {f"{i}{n}0" for i in ("MACHINERY", "BUILDING") for n in "XYZ"}} | {(f"{i}{n}{p}", "l") for i in ("MACHINERY", "BUILDING") for n in "XYZ" for p in range(1, 60, 2)}
+    assert missing == expected
+    kept = {(r["industry"], r["origin"], r["target"]): r["kept"] for r in q_profiles.geo_overlap(spark, "").collect()}
+    assert len(kept) == 12 and set(kept.values()) == {round((59 / 60 + 0.5) / (59 / 60 + 1), 6)}
