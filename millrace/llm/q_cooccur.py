@@ -18,9 +18,9 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_lift(spark: SparkSession, folder: str) -> DataFrame:
-    """Joint count and lift of every pair of groups that at least three postings ask for."""
+    """Joint count and lift of every pair of groups that a posting asks for together."""
     rows = table(spark, folder, "requirements").select("posting_id", "req_group")
-    pairs = pair_counts(rows, "posting_id", "req_group", min_joint=3)
+    pairs = pair_counts(rows, "posting_id", "req_group", min_joint=1)
     return pairs.select(F.col("item_a").alias("group_a"), F.col("item_b").alias("group_b"), "joint", "n_a", "n_b", F.round("lift", 6).alias("lift"))
 
 

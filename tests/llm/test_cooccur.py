@@ -48,3 +48,12 @@ def test_one_record_with_a_third_of_all_rows(spark):
     rows = [("big", f"i{k}", "", 0) for k in range(400)] + [(f"r{k}", f"i{k % 400}", "", 0) for k in range(800)]
     got = pair_counts(spark.createDataFrame(rows, SCHEMA), "rec", "it")
     assert got.count() == 400 * 399 // 2 and got.filter("joint <> 1").count() == 0
+
+
+def test_lift_of_pairs_in_one_or_two_postings(spark, tmp_path):
+    from millrace.llm.q_cooccur import p1_lift
+
+    rows = [("p1", "a"), ("p1", "b"), ("p2", "a"), ("p2", "b"), ("p2", "c"), ("p3", "a")]
+    spark.createDataFrame(rows, "posting_id STRING, req_group STRING").write.parquet(f"{tmp_path}/requirements.parquet")
+    got = {(r["group_a"], r["group_b"]): (r["joint"], r["n_a"], r["n_b"], r["lift"]) for r in p1_lift(spark, str(tmp_path)).collect()}
+    assert got == {("a", "b"): (2, 3, 2, 1.0), ("a", "c"): (1, 3, 1, 1.0), ("b", "c"): (1, 2, 1, 1.5)}
