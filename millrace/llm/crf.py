@@ -14,6 +14,8 @@ import numpy as np
 
 REACH = 4
 OFFSETS = range(-REACH, REACH + 1)
+#: Marks a word in training whose letters are hidden, so that weight goes to shapes and neighbours as well.
+BLIND = "\0"
 TOKEN = re.compile(r"\r\n|\n|\r|[^\W_]+|_|[^\w\s]")
 
 
@@ -32,7 +34,9 @@ def tokens(text: str) -> tuple[list[str], list[int], list[int]]:
 
 
 def features(token: str) -> list[str]:
-    """The features of a word type."""
+    """The features of a word type; a type that ends in BLIND shows its shape only."""
+    if token.endswith(BLIND):
+        return [f for f in features(token[:-1]) if f[0] not in "=<>"]
     if token in ("\n", ""):
         return [f"={token or 'edge'}"]
     blank = token[0] == " "

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import random
 import re
 from collections.abc import Iterator
 
@@ -14,32 +15,38 @@ from millrace.llm import crf
 from millrace.llm.pii_table import KINDS, labelled
 from millrace.session import spread
 
+#: Share of the words in training that hide their letters.
+HIDDEN = 0.2
+
 LABELS = ["O"] + [f"{p}-{k}" for k in KINDS for p in "BI"]
 
 _CHECK = {
     "email": lambda s: bool(re.search(r"@|\bat\b", s, re.I)) and bool(re.search(r"\.|\bdot\b", s, re.I)) and len(s) >= 6,
     "phone": lambda s: sum(c.isdigit() for c in s) >= 7 and not re.search(r"[^\W\d_]", s),
-    "id_number": lambda s: sum(c.isdigit() for c in s) >= 4 and sum(c.isalnum() for c in s) >= 7 and not re.match(r"REQ|\d{1,2}\.\d{1,2}\.\d{4}$", s, re.I),
+    "id_number": lambda s: sum(c.isdigit() for c in s) >= 4 and sum(c.isalnum() for c in s) >= 7,
     "address": lambda s: any(c.isdigit() for c in s) and sum(c.isalpha() for c in s) >= 4,
     "name": lambda s: sum(c.isalpha() for c in s) >= 3 and not re.search(r"[\d@<>/]", s),
 }
 
 
-def encode(text: str, spans: list[tuple[int, int, str]]) -> tuple[list[str], list[str]]:
-    """Token types and labels of a labelled text."""
+def encode(text: str, spans: list[tuple[int, int, str]], hide: random.Random | None = None) -> tuple[list[str], list[str]]:
+    """Token types and labels of a labelled text; with `hide` one word in five hides its letters."""
     types, starts, ends = crf.tokens(text)
     tags = ["O"] * len(types)
     for a, b, kind in spans:
         inside = [i for i in range(len(types)) if starts[i] < b and ends[i] > a]
         for n, i in enumerate(inside):
             tags[i] = ("I-" if n else "B-") + kind
+    if hide is not None:
+        types = [t + crf.BLIND if t[-1].isalnum() and hide.random() < HIDDEN else t for t in types]
     return types, tags
 
 
 @functools.lru_cache(maxsize=2)
-def model(fills: int = 120, seed: int = 11) -> crf.Model:
+def model(fills: int = 3, seed: int = 11) -> crf.Model:
     """The field, trained from the labelled table."""
-    rows = [encode(text, spans) for text, spans in labelled(fills, seed)]
+    hide = random.Random(seed)
+    rows = [encode(text, spans, hide) for text, spans in labelled(fills, seed)]
     return crf.train([r[0] for r in rows], [r[1] for r in rows], LABELS)
 
 
@@ -101,10 +108,12 @@ def spans_of(text: str, starts: list[int], ends: list[int], path) -> list[tuple[
 
 
 def detect(field: crf.Model, texts: list[str]) -> list[list[tuple[int, int, str]]]:
-    """The personal data of each text as (start, end, kind)."""
-    cut = [crf.tokens(t) for t in texts]
+    """The personal data of each text as (start, end, kind); equal texts are decoded once."""
+    once = list(dict.fromkeys(texts))
+    cut = [crf.tokens(t) for t in once]
     paths = field.decode([c[0] for c in cut])
-    return [spans_of(t, c[1], c[2], p) for t, c, p in zip(texts, cut, paths, strict=True)]
+    known = {t: spans_of(t, c[1], c[2], p) for t, c, p in zip(once, cut, paths, strict=True)}
+    return [known[t] for t in texts]
 
 
 def _with_spans(documents: DataFrame, doc: str, text: str, schema: str, make) -> DataFrame:

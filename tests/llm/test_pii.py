@@ -1,19 +1,35 @@
+import random
+import re
+
 import numpy as np
+import pandas as pd
 import pytest
 
 from millrace.llm import crf
-from millrace.llm.pii import LABELS, detect, find_personal, model, redact
-from millrace.llm.pii_table import labelled
-
-
-def test_held_out_accuracy():
-    """Sentences filled with other values: at least 95 percent of what is marked is found, and as much of what is found is marked."""
-    rows = labelled(4, seed=77)
-    found = detect(model(), [t for t, _ in rows])
-    truth = [{(t[a:b], k) for a, b, k in s} for t, s in rows]
-    got = [{(t[a:b], k) for a, b, k in s} for (t, _), s in zip(rows, found, strict=True)]
-    hit = sum(len(a & b) for a, b in zip(truth, got, strict=True))
-    assert hit >= 0.95 * sum(map(len, truth)) and hit >= 0.95 * sum(map(len, got))
+from millrace.llm.pii import LABELS, detect, encode, find_personal, model, redact
+from millrace.llm.pii_table import KINDS, PLAIN, WORDS, labelled, marked_patterns
+
+
+def test_held_out_wording():
+    """Trained without a fifth of the wordings (whole lead-ins and frames) and tested on these: recall and precision of each kind."""
+    hide = random.Random(3)
+    rows = [encode(t, s, hide) for t, s in labelled(3, 11, held=2)]
+    field = crf.train([r[0] for r in rows], [r[1] for r in rows], LABELS)
+    test = labelled(1, 77, held=2, only=True)
+    truth = {(i, k, t[a:b]) for i, (t, s) in enumerate(test) for a, b, k in s}
+    got = {(i, k, test[i][0][a:b]) for i, s in enumerate(detect(field, [t for t, _ in test])) for a, b, k in s}
+    for kind in KINDS:
+        want, have = {x for x in truth if x[1] == kind}, {x for x in got if x[1] == kind}
+        assert len(want) > 50 and len(want & have) >= 0.9 * max(len(want), len(have)), kind
+
+
+def test_no_sentence_of_the_table_stands_in_the_documents(folder):
+    """Wording of four words or more between places never stands in the texts that the field is used on."""
+    text = "\n".join(t for t in pd.read_parquet(f"{folder.rsplit('/', 1)[0]}/sf0.01/documents.parquet")["text"] if t)
+    for lang in WORDS:
+        for pattern in [*marked_patterns(lang), *PLAIN[lang]]:
+            for piece in re.split(r"\{\w+\}|<<\w+>>", pattern):
+                assert len(piece.split()) < 4 or piece.strip() not in text, piece
 
 
 def test_viterbi_against_all_paths():
