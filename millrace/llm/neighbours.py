@@ -1,19 +1,25 @@
 """The k most similar vectors of every vector: a forest of hash-prefix trees.
 
-Each tree gives every vector a long bit string (signs of random projections). Sorted by it, the vectors that share a long
-prefix stand together. A query descends each tree to the longest prefix that it shares with others and ascends, the same
-way in all trees, until the prefix holds enough candidates. It never descends below the depth that the number of trees was
-sized for; a node that holds more than `leaf` vectors there stays whole. The number of trees follows from that depth, so that a pair of the stated similarity shares a leaf in at least one tree with the stated probability.
-
-Inside a leaf all candidates are scored by blocked matrix products. A node with more than `leaf` vectors at that depth is
-cut into blocks, and every pair of blocks is scored, so no candidate is dropped. Vectors of equal direction are collapsed
-first; only the k + 1 smallest ids of such a group can be among anyone's k nearest. The others are joined back as queries:
-the k nearest of each are the k smallest ids of its own direction.
+Each tree gives every vector a long bit string (signs of random projections); sorted by it, the vectors that share a prefix
+stand together, so a tree is a sorted array and a node is a run of it. A query descends to its longest match and ascends, by
+the same number of bits in all trees, until the runs of all trees together hold `want` candidates and at least to the depth
+that the trees were sized for: the number of trees follows from that depth, so that a pair of the stated similarity shares the
+run of at least one tree with the stated probability. The same forest runs at every size, three levels deep at least.
+
+The array of a tree is distributed in pieces by the first bits of the strings, as many as the ascent may still need; a piece
+that is too full is cut at the sized depth, and a run that is too full into blocks of which every pair is scored (a cost
+quadratic in the run, and no candidate dropped). Only 8-bit vectors travel with the trees: the residual of each is known, so
+the true cosine lies between bounds, and no pair that could be among the k nearest is lost. What is left is scored exactly
+with the vectors as given.
+
+Vectors of equal direction are collapsed first; only the k + 1 smallest ids of such a group can be among anyone's k nearest.
+The others are joined back as queries: the k nearest of each are the k smallest ids of its own direction.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,10 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.session import cut, spread
+from millrace.session import cut, share_path, spread
 
 BITS = 48
-LEAF = 2048
+#: Rows of a run on average, at most; levels that a query may ascend above the sized depth; rows of a piece or block.
+LEAF = 1024
+CLIMB = 3
+BLOCK = 8192
 
 
 def usable(df: DataFrame, vec: str, embedding: str) -> DataFrame:
@@ -36,7 +45,7 @@ def usable(df: DataFrame, vec: str, embedding: str) -> DataFrame:
 
 
 def _planes(dim: int, trees: int, seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).standard_normal((dim, trees * BITS))
+    return np.random.default_rng((seed, dim)).standard_normal((dim, trees * BITS)).astype(np.float32)
 
 
 def trees_needed(depth: int, cosine: float, recall: float) -> int:
@@ -47,13 +56,80 @@ def trees_needed(depth: int, cosine: float, recall: float) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree)))
 
 
-def nearest(df: DataFrame, vec: str = "vec_id", embedding: str = "embedding", k: int = 10, least: float = 0.9, recall: float = 0.995, leaf: int = LEAF, seed: int = 7) -> DataFrame:
+def _coded(rows: DataFrame, trees: int, seed: int) -> DataFrame:
+    """(id, dim, codes, q, scale, off) of each vector: its strings, the 8-bit vector, its step and the length of its residual."""
+    schema = rows.schema["id"].dataType.simpleString()
+    planes: dict[int, np.ndarray] = {}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        powers = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
+        for pdf in batches:
+            for dim, part in pdf.groupby("dim"):
+                if dim not in planes:
+                    planes[dim] = _planes(dim, trees, seed)
+                m = np.stack(part["e"].to_numpy()).astype(np.float64)
+                m /= np.linalg.norm(m, axis=1, keepdims=True)
+                codes = np.empty((len(m), trees), dtype=np.int64)
+                for t in range(trees):
+                    codes[:, t] = (m.astype(np.float32) @ planes[dim][:, t * BITS : (t + 1) * BITS] > 0).astype(np.int64) @ powers
+                scale = np.abs(m).max(axis=1) / 127
+                q = np.rint(m / scale[:, None]).astype(np.int8)
+                off = np.linalg.norm(m - q * scale[:, None], axis=1) + 1e-6
+                yield pd.DataFrame({"id": part["id"].to_numpy(), "dim": int(dim), "codes": list(codes), "q": [v.tobytes() for v in q], "scale": scale, "off": off})
+
+    return rows.mapInPandas(run, f"id {schema}, dim INT, codes ARRAY<BIGINT>, q BINARY, scale FLOAT, off FLOAT")
+
+
+def _run_pairs(pdf: pd.DataFrame, depth: int, k: int, least: float) -> pd.DataFrame:
+    """Candidates (a, b) of one piece of a tree: each query against the run of its own length in the sorted array.
+
+    Kept are those whose greatest possible cosine reaches `least` and the k-th best certain one of the query in this piece.
+    """
+    lo, hi = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
+    pdf = pdf.sort_values("code", kind="stable")
+    ids, code, up, own = (pdf[c].to_numpy() for c in ("id", "code", "up", "own"))
+    m = np.frombuffer(b"".join(pdf["q"]), dtype=np.int8).reshape(len(pdf), -1).astype(np.float32) * pdf["scale"].to_numpy()[:, None]
+    off = pdf["off"].to_numpy().astype(np.float32)
+    out_a, out_b = [], []
+    for climb in np.unique(up):
+        shift = BITS - (depth - int(climb))
+        heads = code >> shift
+        starts = np.searchsorted(heads, heads, side="left")
+        ends = np.searchsorted(heads, heads, side="right")
+        asking = np.nonzero(up == climb)[0]
+        for first in np.unique(starts[asking]):
+            run = np.arange(first, ends[first])
+            who = asking[(asking >= first) & (asking < ends[first])]
+            for mine, theirs in {(lo, hi), (hi, lo)}:
+                right = run if lo == hi else run[own[run] == theirs]
+                left = who if lo == hi else who[own[who] == mine]
+                for at in range(0, len(left), 1024):
+                    rows = left[at : at + 1024]
+                    c = m[rows] @ m[right].T
+                    slack = off[rows][:, None] + off[right][None, :] + off[rows][:, None] * off[right][None, :]
+                    c[rows[:, None] == right[None, :]] = -9.0
+                    most = c + slack
+                    if len(right) > k:
+                        floor = np.partition(c - slack, len(right) - k, axis=1)[:, len(right) - k]
+                        most[most < floor[:, None]] = -9.0
+                    r, s = np.nonzero(most >= least)
+                    out_a.append(ids[rows[r]])
+                    out_b.append(ids[right[s]])
+    if not out_a:
+        return pd.DataFrame({"a": ids[:0], "b": ids[:0]})
+    return pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)}).drop_duplicates()
+
+
+def nearest(df: DataFrame, vec: str = "vec_id", embedding: str = "embedding", k: int = 10, least: float = 0.9, recall: float = 0.9999, leaf: int = LEAF, want: int | None = None, block: int = BLOCK, seed: int = 7) -> DataFrame:
     """The k nearest others of every vector among those of cosine >= least; ties go to the smaller id.
 
-    Result: a, b, cosine DOUBLE, rank INT (1 = nearest). Vectors without a usable embedding, and vectors whose length
-    differs from the commonest one, have no neighbours. Repeated ids: the row with the smallest embedding counts.
+    Result: a, b, cosine DOUBLE, rank INT (1 = nearest). `want` is the number of candidates that a query ascends for, 4 k by
+    default. Vectors of every length are indexed; only those of equal length have a cosine. Vectors without a usable
+    embedding have no neighbours. Repeated ids: the row with the smallest embedding counts.
     """
+    share_path(df.sparkSession)
     spark = df.sparkSession
+    want = 4 * k if want is None else want
     rows = usable(df, vec, embedding)
     rows = rows.groupBy("id").agg(F.min(F.struct("e", "n")).alias("x")).select("id", "x.e", "x.n")
     # Equal directions: one key per direction, rounded to 7 digits of the unit vector.
@@ -61,97 +137,60 @@ def nearest(df: DataFrame, vec: str = "vec_id", embedding: str = "embedding", k:
     rows = rows.withColumn("dir", F.xxhash64(unit)).withColumn("dim", F.size("e"))
     place = F.row_number().over(Window.partitionBy("dir", "dim", "part").orderBy("id"))
     # Two-step cut to the k + 1 smallest ids of a direction: salted first, so that a hot direction is spread.
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(64)).cast("int"))
-    every = cut(rows.select("id", "dir", "dim"))
-    rows = rows.withColumn("r", place).filter(F.col("r") <= k + 1)
+    rows = cut(rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(64)).cast("int")))
+    every = rows.select("id", "dir", "dim")
+    kept = rows.withColumn("r", place).filter(F.col("r") <= k + 1)
     place = F.row_number().over(Window.partitionBy("dir", "dim").orderBy("id"))
-    rows = cut(rows.withColumn("r", place).filter(F.col("r") <= k + 1).select("id", "e", "dim", "dir", "r"))
-    size = rows.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
+    rows = cut(kept.withColumn("r", place).filter(F.col("r") <= k + 1).select("id", "e", "n", "dim", "dir", "r"))
+    largest = rows.groupBy("dim").count().agg(F.max("count")).first()[0]
     schema = rows.schema["id"].dataType.simpleString()
-    if size is None:
+    if largest is None:
         return spark.createDataFrame([], f"a {schema}, b {schema}, cosine DOUBLE, rank INT")
-    dim, count = size["dim"], size["count"]
-    typical = max(0, math.ceil(math.log2(count / leaf)))  # depth of an evenly filled tree
-    deepest = min(BITS, typical + 1) if typical else 0  # one level deeper, for nodes fuller than most
-    trees = trees_needed(deepest, least, recall)
-    planes = _planes(dim, trees, seed)
-    sent = spark.sparkContext.broadcast(planes.astype(np.float32))
-
-    def hashes(batches):
-        powers = (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            m = np.stack(pdf["e"].to_numpy()).astype(np.float64)
-            m /= np.linalg.norm(m, axis=1, keepdims=True)
-            signs = (m.astype(np.float32) @ sent.value > 0).reshape(len(m), trees, BITS)
-            codes = signs.astype(np.int64) @ powers
-            body = [v.tobytes() for v in m]
-            yield pd.DataFrame({
-                "id": np.repeat(pdf["id"].to_numpy(), trees), "tree": np.tile(np.arange(trees, dtype=np.int32), len(m)),
-                "code": codes.reshape(-1), "v": np.repeat(np.array(body, dtype=object), trees),
-            })
-
-    hashed = spread(rows.filter(F.col("dim") == dim)).mapInPandas(hashes, f"id {schema}, tree INT, code BIGINT, v BINARY")
-    # The nodes: counts of prefixes from the typical depth downwards, level by level only inside nodes that are too full.
-    prefix = lambda depth: F.shiftright(F.col("code"), BITS - depth)
-    hashed = cut(hashed) if typical else hashed
-    leaves = hashed.select("id", "tree", "code", "v", F.lit(typical).alias("depth"), prefix(typical).alias("node"))
-    full = cut(leaves.groupBy("tree", "node").count().filter(F.col("count") > leaf).select("tree", "node"))
-    depth = typical
-    splits: list[DataFrame] = []
-    while depth < deepest and not full.isEmpty():
-        splits.append(full.withColumn("depth", F.lit(depth)))
-        depth += 1
-        inside = hashed.select("tree", prefix(depth - 1).alias("node"), prefix(depth).alias("child")).join(full, ["tree", "node"])
-        full = cut(inside.groupBy("tree", F.col("child").alias("node")).count().filter(F.col("count") > leaf).select("tree", "node"))
-    for level in splits:
-        # A row moves down while its node was too full; the list of such nodes is small, its size is left to Spark.
-        moved = level.selectExpr("tree", "node", "depth AS d")
-        leaves = leaves.join(moved, (leaves["tree"] == moved["tree"]) & (leaves["node"] == moved["node"]) & (leaves["depth"] == moved["d"]), "left").select(
-            "id", leaves["tree"], "code", "v",
-            F.when(F.col("d").isNotNull(), leaves["depth"] + 1).otherwise(leaves["depth"]).alias("depth"),
-            F.when(F.col("d").isNotNull(), F.expr(f"shiftright(code, {BITS} - depth - 1)")).otherwise(leaves["node"]).alias("node"),
-        )
-    # Nodes that stay overfull at the deepest level are cut into blocks; block pairs (i, j) cover all their pairs.
-    sizes = leaves.groupBy("tree", "depth", "node").count().select("tree", "depth", "node", F.ceil(F.col("count") / leaf).cast("int").alias("blocks"))
-    placed = leaves.join(sizes, ["tree", "depth", "node"])
-    own = F.pmod(F.xxhash64("id"), F.col("blocks").cast("bigint")).cast("int")
-    placed = placed.withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    placed = placed.select("id", "tree", "depth", "node", "own", "v", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
-        ids = pdf["id"].to_numpy()
-        m = np.frombuffer(b"".join(pdf["v"]), dtype=np.float64).reshape(len(pdf), dim)
-        side = pdf["own"].to_numpy()
-        left, right = (np.arange(len(ids)),) * 2 if lo == hi else (np.nonzero(side == lo)[0], np.nonzero(side == hi)[0])
-        out = []
-        single = m.astype(np.float32)
-        for at in range(0, len(left), 1024):
-            rows = left[at : at + 1024]
-            r, c = np.nonzero(single[rows] @ single[right].T >= least - 1e-5)
-            a, b = rows[r], right[c]
-            exact = np.einsum("ij,ij->i", m[a], m[b])
-            ok = (exact >= least) & (a != b)
-            out.append(pd.DataFrame({"a": ids[a[ok]], "b": ids[b[ok]], "cosine": exact[ok]}))
-            if lo != hi:
-                out.append(pd.DataFrame({"a": ids[b[ok]], "b": ids[a[ok]], "cosine": exact[ok]}))
-        found = pd.concat(out) if out else pd.DataFrame({"a": ids[:0], "b": ids[:0], "cosine": np.zeros(0)})
-        # The k best of one block suffice: the k nearest of all are among the k best of the block they are in.
-        found = found.sort_values(["a", "cosine", "b"], ascending=[True, False, True], kind="stable")
-        return found.groupby("a", sort=False).head(k)
-
-    pairs = placed.groupBy("tree", "depth", "node", "lo", "hi").applyInPandas(score, f"a {schema}, b {schema}, cosine DOUBLE")
-    pairs = pairs.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
+    depth = min(BITS, max(CLIMB, math.ceil(math.log2(largest / leaf))))
+    trees = trees_needed(depth, least, recall)
+    coded = cut(_coded(spread(rows.select("id", "e", "dim")), trees, seed))
+    strings = coded.select("id", "dim", F.posexplode("codes").alias("tree", "code"))
+    head = lambda bits: F.shiftright("code", BITS - bits)
+    # The directory: rows of each run at the sized depth and of the runs above it.
+    runs = cut(strings.groupBy("dim", "tree", head(depth).alias("node")).agg(F.count(F.lit(1)).alias("c0")))
+    for up in range(1, CLIMB + 1):
+        runs = runs.withColumn(f"c{up}", F.sum("c0").over(Window.partitionBy("dim", "tree", F.shiftright("node", up))))
+    runs = cut(runs)
+    # Ascent: the fewest bits given up, the same in all trees, for which the runs hold enough others.
+    met = strings.select("id", "dim", "tree", head(depth).alias("node")).join(runs, ["dim", "tree", "node"])
+    total = met.groupBy("id").agg(*(F.sum(F.col(f"c{u}") - 1).alias(f"s{u}") for u in range(CLIMB + 1)))
+    up = F.lit(CLIMB)
+    for u in range(CLIMB - 1, -1, -1):
+        up = F.when(F.col(f"s{u}") >= want, F.lit(u)).otherwise(up)
+    total = total.select("id", up.alias("up"))
+    sizes = runs.withColumn("whole", F.col(f"c{CLIMB}") <= block)
+    sizes = sizes.select("dim", "tree", "node", "whole", F.when(F.col("whole"), F.lit(1)).otherwise(F.ceil(F.col("c0") / block)).cast("int").alias("blocks"))
+    placed = coded.join(total.hint("merge"), "id").select("id", "dim", "q", "scale", "off", "up", F.posexplode("codes").alias("tree", "code"))
+    placed = placed.withColumn("node", head(depth)).join(sizes, ["dim", "tree", "node"])
+    piece = F.when(F.col("whole"), F.shiftright("node", CLIMB)).otherwise(-1 - F.col("node"))
+    placed = placed.select("id", "dim", "tree", piece.alias("piece"), "code", F.when(F.col("whole"), F.col("up")).otherwise(0).alias("up"), "q", "scale", "off", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks").cast("bigint")).cast("int").alias("own"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("other", "blocks")
+    found = placed.groupBy("dim", "tree", "piece", "lo", "hi").applyInPandas(lambda pdf: _run_pairs(pdf, depth, k, least), f"a {schema}, b {schema}")
+    found = cut(found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("met")))
+    # The exact cosine, once for both directions of a pair.
+    packed = rows.select("id", F.transform("e", lambda x: x.cast("float")).alias("v"), F.transform("e", lambda x: x - x.cast("float").cast("double")).alias("rest"), "n")
+    plain = F.exists("rest", lambda x: x != 0)
+    packed = packed.select("id", "v", F.when(plain, F.col("rest")).alias("rest"), "n")
+    ends = found.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
+    ends = ends.join(packed.withColumnsRenamed({"id": "x", "v": "vx", "rest": "rx", "n": "nx"}).hint("merge"), "x").join(packed.withColumnsRenamed({"id": "y", "v": "vy", "rest": "ry", "n": "ny"}).hint("merge"), "y")
+    full = lambda v, r: F.when(F.col(r).isNull(), F.transform(v, lambda x: x.cast("double"))).otherwise(F.zip_with(v, r, lambda x, e: x.cast("double") + e))
+    dot = F.aggregate(F.zip_with(full("vx", "rx"), full("vy", "ry"), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    ends = cut(ends.select("x", "y", (dot / (F.col("nx") * F.col("ny"))).alias("cosine")).filter(F.col("cosine") >= least))
+    pairs = found.join(ends.hint("merge"), (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y"))).select("a", "b", "cosine")
     order = Window.partitionBy("a").orderBy(F.desc(F.round("cosine", 9)), "b")
     best = pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    copies = every.filter(F.col("dim") == dim).join(rows.select("id"), "id", "left_anti").withColumnRenamed("id", "a")
+    copies = every.join(rows.select("id").hint("merge"), "id", "left_anti").withColumnRenamed("id", "a")
     firsts = rows.filter(F.col("r") <= k).select("dir", "dim", F.col("id").alias("b"), F.col("r").alias("rank"))
     return best.unionByName(copies.join(firsts, ["dir", "dim"]).select("a", "b", F.lit(1.0).alias("cosine"), "rank"))
 
 
-def nearest_exact(df: DataFrame, queries: DataFrame, vec: str = "vec_id", embedding: str = "embedding", k: int = 10, block: int = LEAF) -> DataFrame:
+def nearest_exact(df: DataFrame, queries: DataFrame, vec: str = "vec_id", embedding: str = "embedding", k: int = 10, block: int = 2048) -> DataFrame:
     """The k nearest others of every id in `queries` (one column), however far they are; ties go to the smaller id.
 
     Every block of queries is scored against every block of vectors, so nothing is missed; the cost is queries x vectors.
@@ -161,14 +200,13 @@ def nearest_exact(df: DataFrame, queries: DataFrame, vec: str = "vec_id", embedd
     rows = usable(df, vec, embedding)
     rows = rows.groupBy("id").agg(F.min(F.struct("e", "n")).alias("x")).select("id", "x.e", "x.n").withColumn("dim", F.size("e"))
     rows = cut(rows)
-    size = rows.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
+    largest = rows.groupBy("dim").count().agg(F.max("count")).first()[0]
     schema = rows.schema["id"].dataType.simpleString()
-    if size is None:
+    if largest is None:
         return spark.createDataFrame([], f"a {schema}, b {schema}, cosine DOUBLE, rank INT")
-    dim = size["dim"]
-    rows = rows.filter(F.col("dim") == dim).select("id", F.transform("e", lambda x: x / F.col("n")).alias("v"))
+    rows = rows.select("id", "dim", F.transform("e", lambda x: x / F.col("n")).alias("v"))
     asked = cut(rows.join(queries.toDF("id").distinct(), "id", "left_semi"))
-    blocks, parts = max(1, math.ceil(size["count"] / block)), max(1, math.ceil(asked.count() / block))
+    blocks, parts = max(1, math.ceil(largest / block)), max(1, math.ceil(asked.count() / block))
     place = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     left = asked.withColumn("p", place(parts)).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = rows.withColumn("q", place(blocks)).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
@@ -189,6 +227,6 @@ def nearest_exact(df: DataFrame, queries: DataFrame, vec: str = "vec_id", embedd
         found = pd.concat(out) if out else pd.DataFrame({"a": x["id"], "b": x["id"], "cosine": 0.0}).head(0)
         return found[np.isfinite(found["cosine"])]
 
-    pairs = left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInPandas(score, f"a {schema}, b {schema}, cosine DOUBLE")
+    pairs = left.groupBy("dim", "p", "q").cogroup(right.groupBy("dim", "p", "q")).applyInPandas(score, f"a {schema}, b {schema}, cosine DOUBLE")
     order = Window.partitionBy("a").orderBy(F.desc("cosine"), "b")
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
