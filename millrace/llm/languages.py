@@ -2,10 +2,12 @@
 
 Text: every word has a log-likelihood ratio per language, learnt by grouped counts over all distinct parts whose language
 is plain from function words; a rare word, or one that stands in every language alike (a product name), has a ratio near 0.
-Declared markup: the language the row's label names. Address: the language mix of the row's country. Host: the mix of the
-row's company. The mixes are grouped counts smoothed hierarchically (company towards country, country towards all rows).
-The sum of the logarithms gives a posterior. A part without enough evidence in its own words has no language, whatever the
-priors say.
+Declared markup: the language the row's label names; how far labels can be trusted is counted in the data. Address: the
+language mix of the row's country. Host: the mix of the row's company. The mixes are grouped counts smoothed hierarchically
+(company towards country, country towards all rows).
+
+Fusion comes first and the decision after it: the sum of the logarithms gives, for every part in its row, a posterior over the
+languages and "none" (the text is no language's own), and a part has a language if its posterior reaches POSTERIOR.
 """
 
 from __future__ import annotations
@@ -15,20 +17,21 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.joins import merged
 from millrace.session import cut
 
 LANGUAGES = ("en", "de", "fr", "es", "it", "nl", "pt", "pl")
 
-#: Function words that tell these eight languages apart, and a few general words of each.
+#: Function words of the eight languages: articles, prepositions, pronouns, conjunctions, auxiliaries.
 SEEDS = {
-    "en": "the and with of to for you your our in on is are or from by be not an as at this that we can will have has into using working team new own very good knowledge experience ability skills able years",
-    "de": "und mit der die das des den dem du im vom von für zu zur zum auf auch bei als oder nicht kein eine einer einen sind ist wir dich dir deine unser unsere sehr kenntnisse erfahrung bereich sicherer gute",
-    "fr": "et avec le les des du dans vous votre pour sur est une au aux ou que qui nos notre très plus mais pas serait connaissance connaissances expérience années domaine secteur bonne maîtrise car",
-    "es": "y con el los las del una para por en es que su tu muy más pero no como o sector experiencia conocimientos conocimiento años ámbito buena bien tus nuestro nuestra al se son está",
-    "it": "e con il lo gli della delle del nel nella una per che di è anche molto ma non sono settore esperienza conoscenza anni buona ottima capacità al nostra nostro sarebbe ai tuo perché",
-    "nl": "en met het een van de op voor je bij naar ook niet maar zijn is aan dat ons onze over om te goed kennis ervaring gebied jaar sector binnen uit als wel jouw zeer",
-    "pt": "e com o os as do da dos na no nas uma para por em é que não mas muito sua seu nossa nosso experiência conhecimento anos área boa à ao das mais como se tem",
-    "pl": "i w z na do od jest są nie oraz lub się że jak przez dla po nasz naszego twój bardzo dobra znajomość doświadczenie obszarze lat pracy języku ale będzie co najmniej",
+    "en": "the and with of to for you your our in on is are or from by be not an as at this that we can will have has into",
+    "de": "und mit der die das des den dem du im vom von für zu zur zum auf auch bei als oder nicht kein eine einer einen sind ist wir dich dir deine unser unsere",
+    "fr": "et avec le les des du dans vous votre pour sur est une au aux ou que qui nos notre mais pas serait par car ce cette sont",
+    "es": "y con el los las del una para por en es que su tu pero no como o al se son está tus nuestro nuestra sus lo ha",
+    "it": "e con il lo gli della delle del nel nella una per che di è ma non sono al ai tuo perché alla dei degli nostra nostro sarebbe",
+    "nl": "en met het een van de op voor je bij naar niet maar zijn is aan dat ons onze over om te uit als wel jouw wij wordt",
+    "pt": "e com o os as do da dos na no nas uma para por em é que não mas sua seu nossa nosso à ao das como se tem pelo",
+    "pl": "i w z na do od jest są nie oraz lub się że jak przez dla po nasz naszego twój ale będzie co przy ze",
 }
 
 #: Codes and names of the languages, folded (names in English, in the language itself and in the seven others).
@@ -43,7 +46,7 @@ NAMES = {
     "pl": "pl pol polish polski polnisch polonais polaco polacco pools polones",
 }
 
-#: A part needs this much evidence in its own words, and this much more than for the next language.
+#: In learning alone, what the text by itself is sure of: evidence for the best language, and before the next one.
 EVIDENCE = 1.5
 MARGIN = 0.7
 #: Pseudo-counts: of a word's language mix, and of host and country mixes.
@@ -54,9 +57,10 @@ LABEL_WEIGHT = 1.0
 WORD_SHARE = 0.7
 #: A word in fewer items than this says nothing; so product names that stand in few items do not vote.
 LEAST_PARTS = 6
-#: Probability that a declared label is right, spread over the others otherwise.
-LABEL_TRUST = 0.7
+#: Weight of label and host against the text; logarithm of the odds of "none" before anything is read; least posterior.
 PRIOR_WEIGHT = 0.5
+NONE = 1.0
+POSTERIOR = 0.6
 
 SEPARATOR = r"\s+[/|–—-]+\s+|(?<=\p{L}\p{L}[.!?])\s+|[;|\n\r\t•·]+|\s*[()\[\]{}]\s*"
 
@@ -156,39 +160,43 @@ def item_languages(df: DataFrame, row: str, items: str, label: str, country: str
     # Parts of a list without function words of their own follow the list, if its other parts agree.
     agreed = parts.filter("seed IS NOT NULL").groupBy("k").agg(F.min("seed").alias("lo"), F.max("seed").alias("hi")).filter("lo = hi").select("k", F.col("lo").alias("agreed"))
     labels = rows.groupBy("k", "declared").agg(F.count(F.lit(1)).alias("n"))
-    learn = parts.join(agreed, "k", "left").join(labels, "k")
+    learn = merged(merged(parts, agreed, "k", "left"), labels, "k")
     plain = F.coalesce("seed", "agreed")
     learn = learn.select("words", F.coalesce(plain, "declared").alias("lang"), (F.col("n") * F.when(plain.isNotNull(), 1.0).otherwise(LABEL_WEIGHT)).alias("weight"))
     text = _evidence(parts, _word_table(learn.filter("lang IS NOT NULL")))
     # A second round: what the first one is sure of teaches the words that no function word stood beside.
     sure = text.filter(_sure()).select("k", "part", _best().alias("best"))
-    learn = parts.join(sure, ["k", "part"], "left").join(labels, "k")
+    learn = merged(merged(parts, sure, ["k", "part"], "left"), labels, "k")
     learn = learn.select("words", F.coalesce("best", "declared").alias("lang"), F.col("n").cast("double").alias("weight"))
     text = _evidence(parts, _word_table(learn.filter("lang IS NOT NULL")))
-    # An item whose parts say too little each is read as a whole.
-    item = text.groupBy("k").agg(*[F.sum(f"t_{l}").alias(f"t_{l}") for l in LANGUAGES], F.sum("voters").alias("voters"), F.lit(0).alias("size")).withColumn("part", F.lit(-1))
-    text = text.unionByName(item).withColumn("sure", _sure())
-    own = text.filter("part >= 0 AND sure").select("k").distinct().withColumn("own", F.lit(True))
-    text = cut(text.filter("sure").join(own, "k", "left").filter("part >= 0 OR own IS NULL").drop("own", "sure", "size", "voters"))
-    counted = {l: 0 for l in LANGUAGES} | {r["lang"]: r["count"] for r in text.groupBy(_best().alias("lang")).count().collect()}
-    prior = {l: (counted[l] + 1) / (sum(counted.values()) + len(LANGUAGES)) for l in LANGUAGES}
-    # Host priors: language counts of the parts by country and by company, each smoothed towards the wider one.
-    simple = _best()
-    held = rows.select("k", "country", "host").join(text.select("k", simple.alias("lang")), "k")
+    # Host priors: what the text alone is sure of, counted by country and by company, each smoothed towards the wider one.
+    sure = text.filter(_sure()).select("k", _best().alias("lang"))
+    held = merged(rows.select("k", "country", "host", "declared"), sure, "k")
     tally = [F.count_if(F.col("lang") == l).alias(f"n_{l}") for l in LANGUAGES]
-    by_host = cut(held.groupBy("country", "host").agg(*tally))
+    right = [F.count_if(F.col("declared") == F.col("lang")).alias("right"), F.count("declared").alias("labelled")]
+    by_host = cut(held.groupBy("country", "host").agg(*tally, *right))
+    sums = by_host.agg(*[F.sum(f"n_{l}").alias(l) for l in LANGUAGES], F.sum("right").alias("right"), F.sum("labelled").alias("labelled")).first()
+    counted = {l: sums[l] or 0 for l in LANGUAGES}
+    prior = {l: (counted[l] + 1) / (sum(counted.values()) + len(LANGUAGES)) for l in LANGUAGES}
+    trust = ((sums["right"] or 0) + 1) / ((sums["labelled"] or 0) + 2)
     total = lambda: reduce(lambda a, b: a + b, [F.col(f"n_{l}") for l in LANGUAGES])
     by_country = by_host.groupBy("country").agg(*[F.sum(f"n_{l}").alias(f"n_{l}") for l in LANGUAGES])
     by_country = by_country.select("country", *[((F.col(f"n_{l}") + HOST_PRIOR * prior[l]) / (total() + HOST_PRIOR)).alias(f"c_{l}") for l in LANGUAGES])
     hosts = by_host.join(by_country, "country").select("country", "host", *[((F.col(f"n_{l}") + HOST_PRIOR * F.col(f"c_{l}")) / (total() + HOST_PRIOR)).alias(f"h_{l}") for l in LANGUAGES])
-    # Fusion.
-    full = rows.join(text, "k").join(hosts, ["country", "host"], "left")
-    label_p = {l: F.when(F.col("declared").isNull(), F.lit(1 / len(LANGUAGES))).when(F.col("declared") == l, F.lit(LABEL_TRUST)).otherwise(F.lit((1 - LABEL_TRUST) / (len(LANGUAGES) - 1))) for l in LANGUAGES}
-    score = [F.struct((F.col(f"t_{l}") + PRIOR_WEIGHT * (F.log(label_p[l]) + F.log(F.coalesce(F.col(f"h_{l}"), F.lit(prior[l]))))).alias("s"), F.lit(l).alias("l")) for l in LANGUAGES]
-    full = full.withColumn("scores", F.array(*score)).withColumn("best", F.array_max("scores"))
-    norm = F.aggregate("scores", F.lit(0.0), lambda a, x: a + F.exp(x["s"] - F.col("best.s")))
-    full = full.select("row", "item_idx", "part", F.col("best.l").alias("lang"), (1 / norm).alias("confidence"), "declared")
-    out = full.groupBy("row", "item_idx", "lang").agg(F.max("confidence").alias("confidence"), F.min("part").alias("part"), F.first("declared").alias("declared"))
-    several = out.groupBy("row", "item_idx").agg(F.count(F.lit(1)).alias("n"))
-    out = out.join(several, ["row", "item_idx"])
-    return out.select("row", F.col("item_idx").cast("int").alias("item_idx"), F.when(F.col("n") > 1, F.col("part") + 1).otherwise(0).cast("int").alias("part"), "lang", F.round("confidence", 6).alias("confidence"), "declared")
+    # Fusion, part by part in its row, and for the item as a whole (part -1), whose words speak together.
+    item = text.groupBy("k").agg(*[F.sum(f"t_{l}").alias(f"t_{l}") for l in LANGUAGES], F.sum("voters").alias("voters"), F.lit(0).alias("size")).withColumn("part", F.lit(-1))
+    text = text.unionByName(item).filter(F.col("voters") >= F.when(F.col("size") >= 3, 1).otherwise(2))
+    full = merged(rows.select("row", "item_idx", "k", "declared", "country", "host"), text, "k").join(hosts, ["country", "host"], "left")
+    even = 1 / len(LANGUAGES)
+    label_p = {l: F.when(F.col("declared").isNull(), F.lit(even)).when(F.col("declared") == l, F.lit(trust)).otherwise(F.lit((1 - trust) / (len(LANGUAGES) - 1))) for l in LANGUAGES}
+    score = [F.struct((F.col(f"t_{l}") + PRIOR_WEIGHT * (F.log(label_p[l] / even) + F.log(F.coalesce(F.col(f"h_{l}"), F.lit(prior[l])) / even))).alias("s"), F.lit(l).alias("l")) for l in LANGUAGES]
+    full = full.select("row", "item_idx", "part", "declared", F.array(*score).alias("scores")).withColumn("best", F.array_max("scores"))
+    norm = F.aggregate("scores", F.exp(F.lit(NONE) - F.col("best.s")), lambda a, x: a + F.exp(x["s"] - F.col("best.s")))
+    full = full.select("row", "item_idx", "part", F.col("best.l").alias("lang"), (1 / norm).alias("confidence"), "declared").filter(F.col("confidence") >= POSTERIOR)
+    # The whole item only speaks where none of its parts does.
+    out = full.groupBy("row", "item_idx", "lang").agg(F.max(F.when(F.col("part") >= 0, F.col("confidence"))).alias("own"), F.max("confidence").alias("whole"), F.min(F.when(F.col("part") >= 0, F.col("part"))).alias("part"), F.first("declared").alias("declared"))
+    every = out.groupBy("row", "item_idx").agg(F.collect_list(F.struct("lang", "own", "whole", "part", "declared")).alias("found"))
+    parts_only = F.filter("found", lambda x: x["own"].isNotNull())
+    every = every.withColumn("found", F.when(F.size(parts_only) > 0, parts_only).otherwise(F.col("found")))
+    out = every.select("row", "item_idx", F.size("found").alias("n"), F.explode("found").alias("x"))
+    return out.select("row", F.col("item_idx").cast("int").alias("item_idx"), F.when(F.col("n") > 1, F.coalesce("x.part", F.lit(0)) + 1).otherwise(0).cast("int").alias("part"), "x.lang", F.round(F.coalesce("x.own", "x.whole"), 6).alias("confidence"), "x.declared")
