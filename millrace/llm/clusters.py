@@ -2,12 +2,14 @@
 
 1. A phrase is read as a subject (words with few partners, written as one string) and a use (words that stand with many
    different others); the words that only frame a wish are set aside. Phrases that agree in both are one node.
-2. Sparse affinities: nodes of one block (same group and use) that share a 4-letter run at about the same place and whose
-   subjects are at most two slips apart; the weight falls with the number of slips.
+2. Sparse affinities, a graph with three kinds of links: nodes of one block and use whose subjects are at most two slips apart
+   (the weight falls with the slips); each node to the hub of its subject, whatever its use; hubs of subjects that are at most
+   two slips apart. Hubs stand for "the same product for another use" with as many links as nodes, not as pairs of nodes.
+   Subjects are compared once a block, where they share a 4-letter run at about the same place.
 3. Power iteration: several random vectors are multiplied again and again with the row-normalised affinity matrix, one join
    and one aggregation a round. Nodes of a tightly linked set approach the same coordinates.
-4. K-means in these coordinates, seeded with the affinity peaks. A node compares the centres that it or a neighbour is in;
-   other centres share no affinity with it.
+4. K-means in these coordinates, seeded with the affinity peaks. A node compares the centres that it and its
+   neighbours are in; a hub is in the one nearest to it, so another use of the product is a real choice, and the embedding decides.
 5. Members are ranked by internal affinity, the sum of their weights to members of the same cluster.
 """
 
@@ -24,7 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.llm.canonical import slips
-from millrace.session import cut, spread
+from millrace.llm.joins import merged
+from millrace.session import cut, share_path, spread
 
 #: Words that frame a wish without naming what is wished for (fixed values).
 FRAMES = frozenset(
@@ -39,6 +42,8 @@ FRAMES = frozenset(
 #: A word counts as common if it stands with at least (number of words) ** PARTNERS different words. How often it stands
 #: there plays no part: a product in many phrases still has only its other half, slips of it and its uses as partners.
 PARTNERS = 0.4
+#: Weight of the link between a node and the hub of its subject.
+HUB = 0.05
 VECTORS = 6
 ROUNDS = 8
 KMEANS_ROUNDS = 3
@@ -130,82 +135,132 @@ def read_phrases(df: DataFrame, phrase: str, text: str, group: str) -> DataFrame
     return rows.mapInPandas(read, rows.schema.simpleString()[7:-1].replace(":", " ") + ", use STRING, subject STRING")
 
 
-def affinities(nodes: DataFrame) -> DataFrame:
-    """(a, b, w) of both directions for nodes (node, block, use, subject)."""
-    grams = nodes.filter(F.length("subject") >= 5).select("node", "block", "use", "subject", F.explode(F.expr("sequence(1, greatest(1, length(subject) - 3))")).alias("at"))
-    grams = grams.withColumn("gram", F.expr("substring(subject, at, 4)"))
-    other = grams.selectExpr("node AS b", "block", "use", "subject AS other", "at AS there", "gram")
-    pairs = grams.withColumnRenamed("node", "a").join(other, ["block", "use", "gram"])
-    pairs = pairs.filter("a < b AND abs(at - there) <= 2 AND abs(length(subject) - length(other)) <= 2")
-    pairs = pairs.select("a", "b", "subject", "other").distinct().withColumn("d", F.levenshtein("subject", "other", 4)).filter("d >= 0")
+def subject_pairs(subjects: DataFrame) -> DataFrame:
+    """(block, x, y, w) for different subjects x < y of a block, at most two slips apart, of subjects (block, subject)."""
+    # Grams carry a number and a length, not the text, which may be long.
+    named = cut(subjects.filter(F.length("subject") >= 5).select("block", "subject", F.length("subject").alias("size"), F.monotonically_increasing_id().alias("n")))
+    grams = named.select("block", "n", "size", "subject", F.explode(F.expr("sequence(1, size - 3)")).alias("at")).select("block", "n", "size", "at", F.expr("substring(subject, at, 4)").alias("gram"))
+    # The place is part of the key, so that a run of letters that many share at different places is no hot key.
+    other = grams.select("block", "gram", F.explode(F.expr("sequence(at - 2, at + 2)")).alias("at"), F.col("n").alias("m"), F.col("size").alias("size2"))
+    pairs = merged(grams, other, ["block", "gram", "at"]).filter("n <> m AND abs(size - size2) <= 2").select(F.least("n", "m").alias("n"), F.greatest("n", "m").alias("m")).distinct()
+    pairs = merged(merged(pairs, named.select("n", "block", F.col("subject").alias("x")), "n"), named.select(F.col("n").alias("m"), F.col("subject").alias("y")), "m")
+    pairs = pairs.select("block", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).withColumn("d", F.levenshtein("x", "y", 4)).filter("d >= 0")
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            d = np.array([n if n <= 1 else slips(x, y) for x, y, n in zip(pdf["subject"], pdf["other"], pdf["d"], strict=True)], dtype=int)
-            short = np.minimum(pdf["subject"].str.len(), pdf["other"].str.len())
+            d = np.array([n if n <= 1 else slips(x, y) for x, y, n in zip(pdf["x"], pdf["y"], pdf["d"], strict=True)], dtype=int)
+            short = np.minimum(pdf["x"].str.len(), pdf["y"].str.len())
             ok = (d <= 2) & ((d <= 1) | (short >= 8))
-            yield pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "w": np.exp(-1.0 * d)})[ok]
+            yield pd.DataFrame({"block": pdf["block"], "x": pdf["x"], "y": pdf["y"], "w": np.exp(-1.0 * d)})[ok]
+
+    return pairs.mapInPandas(score, "block STRING, x STRING, y STRING, w DOUBLE")
 
-    edges = pairs.select("a", "b", "subject", "other", "d").mapInPandas(score, "a BIGINT, b BIGINT, w DOUBLE")
-    return edges.unionByName(edges.selectExpr("b AS a", "a AS b", "w"))
+
+def affinities(nodes: DataFrame) -> DataFrame:
+    """(a, b, w, kind) of both directions for nodes (node, block, use, subject): kind 0 same use, 1 to or between hubs."""
+    named = nodes.filter("subject <> ''")
+    pairs = cut(subject_pairs(named.select("block", "subject").distinct()))
+    near = merged(named.select(F.col("node").alias("a"), "block", "use", F.col("subject").alias("x")), pairs, ["block", "x"])
+    same = merged(near, named.select(F.col("node").alias("b"), "block", "use", F.col("subject").alias("y")), ["block", "use", "y"]).select("a", "b", "w", F.lit(0).alias("kind"))
+    up = named.select(F.col("node").alias("a"), hub("subject").alias("b"), F.lit(HUB).alias("w"), F.lit(1).alias("kind"))
+    across = pairs.select(hub("x").alias("a"), hub("y").alias("b"), (F.col("w") * HUB).alias("w"), F.lit(1).alias("kind"))
+    edges = same.unionByName(up).unionByName(across)
+    return edges.unionByName(edges.selectExpr("b AS a", "a AS b", "w", "kind"))
+
+
+def hub(subject: str) -> Column:
+    """The number of the hub of a subject in its block."""
+    return F.xxhash64(F.lit("hub"), "block", subject)
 
 
 def _random(node: Column, k: int) -> Column:
     return (F.pmod(F.xxhash64(node, F.lit(k)), F.lit(1 << 20)).cast("double") / float(1 << 20)).alias(f"x{k}")
 
 
-def spectral_clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, cluster) for nodes (node BIGINT, size) and edges (a, b, w) in both directions."""
+def embed(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """(node, x0, x1, ...): the coordinates of every linked node after so many rounds of power iteration."""
     coords = [f"x{k}" for k in range(VECTORS)]
-    edges = cut(edges)
     linked = edges.select(F.col("a").alias("node")).distinct()
     # Row-normalised affinities, with a self-loop of weight 1 that keeps the iteration from oscillating.
     loops = linked.select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(1.0).alias("w"))
-    whole = edges.unionByName(loops)
+    whole = edges.select("a", "b", "w").unionByName(loops)
     degree = whole.groupBy("a").agg(F.sum("w").alias("total"))
-    matrix = cut(whole.join(degree, "a").select("a", "b", (F.col("w") / F.col("total")).alias("p")))
+    # Kept in the partitioning of the column side, so that a round shuffles the vectors only.
+    matrix = cut(merged(whole, degree, "a").select("a", "b", (F.col("w") / F.col("total")).alias("p")).repartition("b"))
     x = linked.select("node", *[_random(F.col("node"), k) for k in range(VECTORS)])
-    for r in range(ROUNDS):
-        x = matrix.join(x, matrix["b"] == x["node"]).groupBy("a").agg(*[F.sum(F.col("p") * F.col(c)).alias(c) for c in coords]).withColumnRenamed("a", "node")
+    for r in range(rounds):
+        x = merged(matrix, x.withColumnRenamed("node", "b"), "b").groupBy("a").agg(*[F.sum(F.col("p") * F.col(c)).alias(c) for c in coords]).withColumnRenamed("a", "node")
         if r % 4 == 3:
             x = cut(x)
-    # Affinity peaks: nodes that no neighbour exceeds in the weight of their surroundings.
-    mass = edges.join(nodes.select(F.col("node").alias("b"), "size"), "b").groupBy("a").agg(F.sum(F.col("w") * F.col("size")).alias("around"))
-    mass = cut(mass.join(nodes.select(F.col("node").alias("a"), "size"), "a").select(F.col("a").alias("node"), F.struct((F.col("around") + F.col("size")).alias("m"), F.col("a").alias("i")).alias("s")))
-    near = edges.select("a", "b").join(mass.withColumnsRenamed({"node": "b", "s": "t"}), "b")
+    return cut(x)
+
+
+def spectral_clusters(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """(node, cluster) for nodes (node BIGINT, size) and edges (a, b, w, kind) in both directions."""
+    coords = [f"x{k}" for k in range(VECTORS)]
+    edges = cut(edges)
+    x = embed(edges, rounds)
+    strong = edges.filter("kind = 0")
+    real = nodes.select("node", "size")
+    # Affinity peaks: nodes that no neighbour of the same use exceeds in the weight of their surroundings.
+    mass = merged(strong, real.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.sum(F.col("w") * F.col("size")).alias("around")).withColumnRenamed("a", "node")
+    mass = merged(real, mass, "node", "left").select("node", F.struct((F.coalesce("around", F.lit(0.0)) + F.col("size")).alias("m"), F.col("node").alias("i")).alias("s"))
+    mass = cut(mass)
+    near = merged(strong.select("a", "b"), mass.withColumnsRenamed({"node": "b", "s": "t"}), "b")
     best = near.groupBy("a").agg(F.max("t").alias("t")).withColumnRenamed("a", "node")
-    label = mass.join(best, "node").select("node", F.when(F.col("s") >= F.col("t"), F.col("node")).otherwise(F.col("t.i")).alias("cluster"))
-    label = cut(label)
-    for _ in range(3):  # follow the pointers to the peak
+    label = cut(merged(mass, best, "node", "left").select("node", F.when(F.col("t").isNull() | (F.col("s") >= F.col("t")), F.col("node")).otherwise(F.col("t.i")).alias("cluster")))
+    for _ in range(60):  # follow the pointers to the peak; their length halves
         up = label.select(F.col("node").alias("cluster"), F.col("cluster").alias("next"))
-        label = label.join(up, "cluster").select("node", F.col("next").alias("cluster"))
-    label = cut(label)
+        moved = cut(merged(label, up, "cluster").select("node", F.col("next").alias("cluster"), (F.col("next") != F.col("cluster")).alias("moved")))
+        label = moved.select("node", "cluster")
+        if moved.filter("moved").isEmpty():
+            break
+    else:
+        raise RuntimeError("the pointers to the affinity peaks did not settle")
+    linked = merged(label, x.select("node"), "node", "left_semi")
+    alone = merged(label, x.select("node"), "node", "left_anti")
     for _ in range(KMEANS_ROUNDS):
-        centre = label.join(x, "node").groupBy("cluster").agg(*[F.avg(c).alias(f"c{c}") for c in coords])
-        seen = edges.select("a", "b").join(label.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "cluster")
-        choice = seen.unionByName(label).distinct().join(x, "node").join(centre, "cluster")
+        placed = cut(merged(linked, x, "node"))
+        centre = cut(placed.groupBy("cluster").agg(*[F.avg(c).alias(f"c{c}") for c in coords]))
+        # A hub is in the centre nearest to it among those next to it; every neighbour, hubs too, offers the centre it is in.
+        offered = merged(edges.select("a", "b"), linked.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "cluster").distinct()
+        hubs = merged(offered, real.select("node"), "node", "left_anti")
         away = sum((F.col(c) - F.col(f"c{c}")) ** 2 for c in coords)
-        label = cut(choice.groupBy("node").agg(F.min(F.struct(F.round(away, 9).alias("d"), "cluster")).alias("m")).select("node", "m.cluster"))
-    alone = nodes.select("node").join(label, "node", "left_anti").select("node", F.col("node").alias("cluster"))
-    return label.unionByName(alone)
+        at_hub = merged(merged(hubs, x, "node"), centre, "cluster").withColumn("d", away)
+        at_hub = at_hub.groupBy("node").agg(F.min(F.struct(F.round("d", 9).alias("d"), "cluster")).alias("m")).select(F.col("node").alias("b"), "m.cluster")
+        by_hub = merged(edges.filter("kind = 1").select("a", "b"), at_hub, "b").select(F.col("a").alias("node"), "cluster")
+        seen = offered.unionByName(by_hub).unionByName(linked).distinct()
+        choice = merged(merged(merged(seen, real.select("node"), "node", "left_semi"), x, "node"), centre, "cluster")
+        linked = cut(choice.groupBy("node").agg(F.min(F.struct(F.round(away, 9).alias("d"), "cluster")).alias("m")).select("node", "m.cluster"))
+    return linked.unionByName(alone)
 
 
-def cluster_phrases(df: DataFrame, phrase: str = "phrase_id", text: str = "atom_norm", group: str = "head_group") -> DataFrame:
+def cluster_phrases(df: DataFrame, phrase: str = "phrase_id", text: str = "atom_norm", group: str = "head_group", rounds: int = ROUNDS) -> DataFrame:
     """Every phrase with its cluster.
 
     Result: id, text, block, cluster BIGINT, affinity DOUBLE (weight to other members, counting equal wordings 1 each).
     Rows with a NULL id or text are left out; a phrase that is like no other is a cluster of its own; NULL and blank groups
     form one block; repeated rows count once; an empty table gives an empty result.
     """
+    share_path(df.sparkSession)
     rows = cut(read_phrases(df, phrase, text, group).withColumn("node", F.xxhash64("block", "use", "subject")))
     nodes = cut(rows.groupBy("node").agg(F.first("block").alias("block"), F.first("use").alias("use"), F.first("subject").alias("subject"), F.count(F.lit(1)).alias("size")))
     edges = cut(affinities(nodes))
-    label = spectral_clusters(nodes, edges)
-    inside = edges.join(label.withColumnsRenamed({"node": "a", "cluster": "ca"}), "a").join(label.withColumnsRenamed({"node": "b", "cluster": "cb"}), "b").filter("ca = cb")
-    inside = inside.join(nodes.selectExpr("node AS b", "size"), "b").groupBy("a").agg(F.sum(F.col("w") * F.col("size")).alias("links")).withColumnRenamed("a", "node")
-    facts = label.join(nodes.select("node", "size"), "node").join(inside, "node", "left")
+    label = spectral_clusters(nodes, edges, rounds)
+    inside = merged(merged(edges.filter("kind = 0"), label.withColumnsRenamed({"node": "a", "cluster": "ca"}), "a"), label.withColumnsRenamed({"node": "b", "cluster": "cb"}), "b").filter("ca = cb")
+    inside = merged(inside, nodes.selectExpr("node AS b", "size"), "b").groupBy("a").agg(F.sum(F.col("w") * F.col("size")).alias("links")).withColumnRenamed("a", "node")
+    facts = merged(merged(label, nodes.select("node", "size"), "node"), inside, "node", "left")
     facts = facts.select("node", "cluster", (F.coalesce("links", F.lit(0.0)) + F.col("size") - 1).alias("affinity"))
-    return rows.join(facts, "node").select("id", "text", "block", "subject", "use", "cluster", "affinity")
+    return merged(rows, facts, "node").select("id", "text", "block", "subject", "use", "cluster", "affinity")
+
+
+def pairs_of(members: DataFrame, part: int = 2048) -> DataFrame:
+    """(a, b), a < b: all pairs inside each cluster of members (id, cluster); a big cluster is cut into parts that meet each other."""
+    sizes = members.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("parts"))
+    rows = merged(members.select("id", "cluster"), sizes, "cluster").withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts").cast("bigint")).cast("int"))
+    left = rows.select("cluster", F.col("id").alias("a"), "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    right = rows.select("cluster", F.col("id").alias("b"), F.col("own").alias("other"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("own"))
+    return merged(left, right, ["cluster", "own", "other"]).filter("a < b").select("a", "b")
 
 
 def describe(members: DataFrame, top: int = 3) -> DataFrame:

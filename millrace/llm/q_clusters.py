@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.clusters import cluster_phrases, describe
+from millrace.llm.clusters import cluster_phrases, describe, pairs_of
 from millrace.sources.tables import table
 
 
@@ -19,9 +19,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     A phrase made of common words alone is paired with those of the same words; one of frame words alone names nothing.
     """
     members = _members(spark, folder).filter("subject <> '' OR use <> ''").select("id", "cluster")
-    a = members.select(F.col("id").alias("phrase_a"), "cluster")
-    b = members.select(F.col("id").alias("phrase_b"), "cluster")
-    return a.join(b, "cluster").filter("phrase_a < phrase_b").select("phrase_a", "phrase_b")
+    return pairs_of(members).select(F.col("a").alias("phrase_a"), F.col("b").alias("phrase_b"))
 
 
 def p5_clusters(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,7 +2,7 @@ from itertools import combinations
 
 import pytest
 
-from millrace.llm.clusters import Reader, cluster_phrases, describe
+from millrace.llm.clusters import Reader, affinities, cluster_phrases, describe, pairs_of, spectral_clusters
 from millrace.llm.q_clusters import p5_found
 
 SCHEMA = "phrase_id BIGINT, atom_norm STRING, head_group STRING, cluster STRING, text STRING"
@@ -74,3 +74,26 @@ def test_phrases_of_common_words_alone_are_paired(spark, tmp_path):
     rows = [(1, "aa bb experience", "x"), (2, "experience with bb aa", "x"), (3, "aa cc", "x"), (4, "aa dd", "x"), (5, "bb cc", "x"), (6, "bb dd", "x")]
     spark.createDataFrame(rows, "phrase_id BIGINT, atom_norm STRING, head_group STRING").write.parquet(f"{tmp_path}/phrases.parquet")
     assert [tuple(r) for r in p5_found(spark, str(tmp_path)).collect()] == [(1, 2)]
+
+
+def test_the_embedding_decides_between_uses(spark):
+    """A node chooses between its own centre and that of another use of the product; without iterations the choice is chance."""
+    both = [(n, u) for n in ("gamutoferali", "brostikenaro", "vipelasodranu") for u in USES]
+    rows = [(2 * k, "x", u, n, 3) for k, (n, u) in enumerate(both)] + [(2 * k + 1, "x", u, n[:4] + n[5:], 1) for k, (n, u) in enumerate(both)]
+    nodes = spark.createDataFrame(rows, "node BIGINT, block STRING, use STRING, subject STRING, size BIGINT").cache()
+    edges = affinities(nodes).cache()
+
+    def groups(rounds):
+        by = {}
+        for r in spectral_clusters(nodes, edges, rounds).collect():
+            by.setdefault(r["cluster"], set()).add(r["node"])
+        return {frozenset(x) for x in by.values()}
+
+    settled = groups(8)
+    assert settled == {frozenset((2 * k, 2 * k + 1)) for k in range(12)}
+    assert groups(0) != settled
+
+
+def test_pairs_of_a_big_cluster_are_cut_into_parts(spark):
+    members = spark.range(50).selectExpr("id", "IF(id < 40, 1L, id) AS cluster")
+    assert {tuple(r) for r in pairs_of(members, part=7).collect()} == set(combinations(range(40), 2))
