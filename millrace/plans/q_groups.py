@@ -138,13 +138,13 @@ round(sum(x) FILTER (j <= greatest(1, ceil(n * 10 / 100))) / sum(x), 6) AS top_1
     "volume_bands": """WITH c AS (SELECT count(*) AS n FROM orders GROUP BY o_custkey)
 SELECT CASE WHEN n <= 5 THEN '1-5' WHEN n <= 10 THEN '6-10' WHEN n <= 15 THEN '11-15' ELSE '16+' END AS band, count(*) AS companies, sum(n)::BIGINT AS adverts FROM c GROUP BY 1""",
     "cap_per_employer": "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) <= 5",
-    "employer_unit": f"""WITH {FACTS_SQL}, o AS (SELECT * FROM facts WHERE industry = 'MACHINERY'), t AS (SELECT count(DISTINCT posting) AS p, count(DISTINCT company) AS c FROM o)
-SELECT cluster, round(count(DISTINCT posting) / any_value(p), 6) AS posting_share, round(count(DISTINCT company) / any_value(c), 6) AS company_share FROM o, t GROUP BY 1""",
+    "employer_unit": f"""WITH {FACTS_SQL}, t AS (SELECT industry, count(DISTINCT posting) AS p, count(DISTINCT company) AS c FROM facts GROUP BY 1)
+SELECT f.industry, cluster, round(count(DISTINCT posting) / any_value(p), 6) AS posting_share, round(count(DISTINCT company) / any_value(c), 6) AS company_share FROM facts f JOIN t ON f.industry = t.industry GROUP BY 1, 2""",
     "content_dedup_exact": f"""WITH {FACTS_SQL}, s AS (SELECT company, posting, list_sort(list(DISTINCT brand)) AS items FROM facts GROUP BY 1, 2)
 SELECT company, count(*) AS adverts, count(DISTINCT items) AS distinct_adverts FROM s GROUP BY 1""",
-    "connected_components": """WITH RECURSIVE e AS (SELECT min(l_partkey) AS a, max(l_partkey) AS b FROM lineitem WHERE l_linenumber <= 2 AND l_quantity >= 48 GROUP BY l_orderkey HAVING min(l_partkey) < max(l_partkey)),
-g AS (SELECT a, b FROM e UNION SELECT b, a FROM e), w(node, root) AS (SELECT a, a FROM g UNION SELECT g.b, w.root FROM w JOIN g ON w.node = g.a WHERE w.root < g.b)
-SELECT node, min(root) AS root FROM w GROUP BY 1""",
+    "connected_components": """WITH RECURSIVE l AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem), e AS (SELECT DISTINCT a.p AS a, b.p AS b FROM l a JOIN l b ON a.o = b.o AND a.p <> b.p),
+w(node, root) USING KEY (node) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, min(w.root) FROM w JOIN e ON w.node = e.a JOIN recurring.w AS r ON r.node = e.b WHERE w.root < r.root GROUP BY 1)
+SELECT node, root FROM w""",
     "alias_apply": """WITH g AS (SELECT req_group, req_topic, sum(n) AS n FROM req_cores WHERE req_topic IS NOT NULL GROUP BY 1, 2),
 b AS (SELECT req_topic, req_group AS target FROM g QUALIFY row_number() OVER (PARTITION BY req_topic ORDER BY n DESC, req_group) = 1), a AS (SELECT g.req_group, target FROM g JOIN b ON g.req_topic = b.req_topic),
 f AS (SELECT DISTINCT req_id, req_group FROM requirements WHERE trim(req_group) <> '')

@@ -90,8 +90,7 @@ def probe_levels(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (modal_type, junk_groups, word_length, role_pairs, merge_candidates, merge_families, split_defects, repeated_keys, group_by_industry, level_table, catalogue_summary, run_totals, probe_levels)}
 
 _OVERLAP = f"""w AS (SELECT DISTINCT req_group AS g, unnest(regexp_split_to_array(lower(req_core), '{WORD}')) AS w FROM req_cores WHERE req_group IS NOT NULL), v AS (SELECT * FROM w WHERE length(w) > 1),
-n AS (SELECT g, count(*) AS n FROM v GROUP BY 1), r AS (SELECT w FROM v GROUP BY 1 HAVING count(*) <= greatest(2, (SELECT count(*) FROM n) / 10)),
-c AS (SELECT DISTINCT x.g AS a, y.g AS b FROM v x JOIN v y ON x.w = y.w AND x.g < y.g WHERE x.w IN (SELECT w FROM r)),
+n AS (SELECT g, count(*) AS n FROM v GROUP BY 1), c AS (SELECT DISTINCT x.g AS a, y.g AS b FROM v x JOIN v y ON x.w = y.w AND x.g < y.g),
 i AS (SELECT c.a, c.b, count(*) AS i FROM c JOIN v x ON x.g = c.a JOIN v y ON y.g = c.b AND y.w = x.w GROUP BY 1, 2),
 j AS (SELECT i.a, i.b, round(i.i / (p.n + q.n - i.i), 6) AS jaccard FROM i JOIN n p ON p.g = i.a JOIN n q ON q.g = i.b WHERE round(i.i / (p.n + q.n - i.i), 6) >= 0.25)"""
 

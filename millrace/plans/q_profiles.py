@@ -207,10 +207,9 @@ SELECT factor, round(js, 6) AS js, row_number() OVER (ORDER BY round(js, 9) DESC
     "career_delta": f"""WITH {FACTS_SQL}, {_shares('1', 'level', 'cluster')}, ks AS (SELECT DISTINCT k FROM sh WHERE cell IN ('5-LOW', '1-URGENT')),
 x AS (SELECT ks.k AS cluster, coalesce(b.share, 0) - coalesce(a.share, 0) AS delta FROM ks LEFT JOIN sh a ON a.k = ks.k AND a.cell = '5-LOW' LEFT JOIN sh b ON b.k = ks.k AND b.cell = '1-URGENT')
 (SELECT cluster, round(delta, 6) AS delta, 'gain' AS side FROM x ORDER BY round(x.delta, 9) DESC, cluster LIMIT 8) UNION ALL (SELECT cluster, round(delta, 6), 'loss' FROM x ORDER BY round(x.delta, 9), cluster LIMIT 8)""",
-    "geo_overlap": f"""WITH {FACTS_SQL}, {_shares('1', 'nation', 'cluster', where="industry = 'MACHINERY'")}, q(origin, target) AS (VALUES ('NATION_0', 'NATION_1'), ('NATION_1', 'NATION_0'), ('NATION_2', 'NATION_3'))
-SELECT origin, target, round(CASE WHEN min(a.t) >= 60 AND min(b.t) >= 60 THEN sum(least(coalesce(x.share, 0), y.share)) / sum(y.share) END, 6) AS kept FROM q
-JOIN (SELECT cell, max(total) AS t FROM sh GROUP BY 1) a ON a.cell = origin JOIN (SELECT cell, max(total) AS t FROM sh GROUP BY 1) b ON b.cell = target
-JOIN sh y ON y.cell = target LEFT JOIN sh x ON x.cell = origin AND x.k = y.k GROUP BY 1, 2""",
+    "geo_overlap": f"""WITH {FACTS_SQL}, {_shares('industry', 'nation', 'cluster')}, tot AS (SELECT fn, cell, max(total) AS t FROM sh GROUP BY 1, 2), q AS (SELECT a.fn, a.cell AS origin, b.cell AS target, a.t AS ta, b.t AS tb FROM tot a JOIN tot b ON a.fn = b.fn AND a.cell <> b.cell)
+SELECT q.fn AS industry, origin, target, round(CASE WHEN min(ta) >= 60 AND min(tb) >= 60 THEN sum(least(coalesce(x.share, 0), y.share)) / sum(y.share) END, 6) AS kept FROM q
+JOIN sh y ON y.fn = q.fn AND y.cell = target LEFT JOIN sh x ON x.fn = q.fn AND x.cell = origin AND x.k = y.k GROUP BY 1, 2, 3""",
     "residual_by_function": f"""WITH {FACTS_SQL}, x AS (SELECT fn, quantity, CASE WHEN type IN ('PROMO', 'ECONOMY') THEN 1.0 ELSE 0.0 END AS l FROM facts)
 SELECT fn, count(*) AS atoms, round(avg(l), 6) AS residual, round(avg(l) FILTER (quantity >= 10), 6) AS residual_clean FROM x GROUP BY 1""",
     "residual_reason": f"""WITH {FACTS_SQL}, p AS (SELECT cluster, avg(CASE WHEN flag = 'A' THEN 1.0 ELSE 0.0 END) AS e, avg(CASE WHEN quantity > 25 THEN 1.0 ELSE 0.0 END) AS c, min(type) AS type FROM facts GROUP BY 1),

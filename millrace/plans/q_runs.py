@@ -210,12 +210,12 @@ d AS (SELECT DISTINCT * FROM r WHERE atom_norm IS NOT NULL), t AS (SELECT * FROM
 SELECT c.route, c.match_status, count, examples, round(count / sum(count) OVER (), 6) AS share FROM c LEFT JOIN e ON c.route = e.route AND c.match_status = e.match_status""",
     "wilson": """WITH c AS (SELECT job, count(*) FILTER (match_status = 'nuovo') AS k, count(*) AS n FROM requirements GROUP BY 1), p AS (SELECT *, k / n AS p, 1.96 * 1.96 AS z2 FROM c)
 SELECT job, k, n, round(greatest(0, ((p + z2 / (2 * n)) - 1.96 * sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n)), 4) AS low, round(least(1, ((p + z2 / (2 * n)) + 1.96 * sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n)), 4) AS high FROM p""",
-    "binomial_tail": """WITH c AS (SELECT job, least(count(*) FILTER (route = 'damaged'), 8) AS k FROM requirements GROUP BY 1),
-t AS (SELECT i, gamma(61) / gamma(i + 1) / gamma(61 - i) * pow(0.04, i) * pow(0.96, 60 - i) AS p FROM range(0, 9) r(i))
-SELECT job, k, round(CASE WHEN k <= 0 THEN 1.0 ELSE greatest(0, 1 - (SELECT sum(p) FROM t WHERE i < k)) END, 9) AS tail FROM c""",
-    "judge_light": """WITH c AS (SELECT job, least(count(*) FILTER (route = 'damaged'), 9) AS flagged, least(count(*), 80) AS answered FROM requirements GROUP BY 1),
-p AS (SELECT job, flagged, answered, (SELECT coalesce(sum(gamma(answered + 1) / gamma(i + 1) / gamma(answered - i + 1) * pow(0.04, i) * pow(0.96, answered - i)), 0) FROM range(0, 9) r(i) WHERE i < flagged) AS below FROM c)
-SELECT job, flagged, answered, CASE WHEN answered < 10 THEN 'grey' WHEN 1 - below < 0.01 THEN 'red' WHEN 1 - below < 0.05 THEN 'yellow' ELSE 'green' END AS light FROM p""",
+    "binomial_tail": """WITH c AS (SELECT job, count(*) FILTER (route = 'damaged') AS k, count(*) AS n FROM requirements GROUP BY 1),
+t AS (SELECT job, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.04) + (n - i) * ln(0.96))) AS p FROM (SELECT *, unnest(range(k, n + 1)) AS i FROM c) GROUP BY 1)
+SELECT c.job, k, round(CASE WHEN k <= 0 THEN 1.0 ELSE least(1.0, p) END, 9) AS tail FROM c LEFT JOIN t ON c.job = t.job""",
+    "judge_light": """WITH c AS (SELECT job, count(*) FILTER (route = 'damaged') AS flagged, count(*) AS answered FROM requirements GROUP BY 1),
+t AS (SELECT job, sum(exp(lgamma(answered + 1) - lgamma(i + 1) - lgamma(answered - i + 1) + i * ln(0.04) + (answered - i) * ln(0.96))) AS p FROM (SELECT *, unnest(range(flagged, answered + 1)) AS i FROM c) GROUP BY 1)
+SELECT c.job, flagged, answered, CASE WHEN answered < 10 THEN 'grey' WHEN p < 0.01 THEN 'red' WHEN p < 0.05 THEN 'yellow' ELSE 'green' END AS light FROM c LEFT JOIN t ON c.job = t.job""",
     "kappa": """WITH r AS (SELECT l_returnflag = 'R' AS t, l_quantity > 25 AS j FROM lineitem), s AS (SELECT count(*) AS n, count(*) FILTER (t = j) AS same, count(*) FILTER (t) AS t1, count(*) FILTER (j) AS j1, count(*) FILTER (t AND j) AS tp FROM r),
 x AS (SELECT *, same / n AS po, (t1::DOUBLE * j1 + (n - t1)::DOUBLE * (n - j1)) / (n::DOUBLE * n) AS pe FROM s)
 SELECT n, round(po, 6) AS agreement, round((po - pe) / (1 - pe), 6) AS kappa, tp, j1 - tp AS fp, t1 - tp AS fn FROM x""",

@@ -281,9 +281,9 @@ SELECT key, posting_row, title FROM k QUALIFY row_number() OVER (PARTITION BY ke
     "loo_verdict": f"""WITH {FACTS_SQL}, s AS (SELECT DISTINCT industry, posting, brand FROM facts), c AS (SELECT industry, brand, count(*) AS c FROM s GROUP BY 1, 2), n AS (SELECT industry, count(DISTINCT posting) AS n FROM s GROUP BY 1),
 v AS (SELECT s.industry, (c - 1) / (n - 1) AS share FROM s JOIN c ON s.industry = c.industry AND s.brand = c.brand JOIN n ON s.industry = n.industry)
 SELECT industry, CASE WHEN share >= 0.3 THEN 'standard' WHEN share >= 0.1 THEN 'common' ELSE 'unusual' END AS verdict, count(*) AS n, round(avg(share), 6) AS mean_share FROM v GROUP BY 1, 2""",
-    "expected_missing": f"""WITH {FACTS_SQL}, s AS (SELECT DISTINCT level, posting, type FROM facts WHERE industry = 'MACHINERY'), n AS (SELECT level, count(DISTINCT posting) AS n FROM s GROUP BY 1),
-u AS (SELECT s.level, type FROM s JOIN n ON s.level = n.level GROUP BY 1, 2, n HAVING count(*) / n >= 0.45)
-SELECT DISTINCT s.posting, u.type FROM s JOIN u ON s.level = u.level WHERE NOT EXISTS (SELECT 1 FROM s y WHERE y.posting = s.posting AND y.level = s.level AND y.type = u.type)""",
+    "expected_missing": f"""WITH {FACTS_SQL}, s AS (SELECT DISTINCT industry, level, posting, type FROM facts), n AS (SELECT industry, level, count(DISTINCT posting) AS n FROM s GROUP BY 1, 2),
+u AS (SELECT s.industry, s.level, type FROM s JOIN n ON s.level = n.level AND s.industry = n.industry GROUP BY 1, 2, 3, n HAVING count(*) / n >= 0.45)
+SELECT DISTINCT s.posting, u.type FROM s JOIN u ON s.level = u.level AND s.industry = u.industry WHERE NOT EXISTS (SELECT 1 FROM s y WHERE y.posting = s.posting AND y.type = u.type)""",
     "saturation_curve": f"WITH {_GROWTH} SELECT step, adverts, vocabulary FROM cu",
     "heaps_fit": f"WITH {_GROWTH}, p AS (SELECT ln(adverts) AS x, ln(vocabulary) AS y FROM cu WHERE adverts >= 0.2 * (SELECT max(adverts) FROM cu)) SELECT round(exp(regr_intercept(y, x)), 4) AS k, round(regr_slope(y, x), 6) AS beta FROM p",
     "normalise_text": f"SELECT DISTINCT item, {_N} AS normal FROM requirements",
