@@ -41,5 +41,5 @@ WHERE joint >= 3 AND 500 * joint >= t AND joint * t >= 3 * x.n * y.n""",
     "p1_lift": _BASE
     + """SELECT group_a, group_b, joint, x.n AS n_a, y.n AS n_b,
 round(joint::DOUBLE * t / (x.n::DOUBLE * y.n), 6) AS lift
-FROM j JOIN n x ON x.req_group = group_a JOIN n y ON y.req_group = group_b, t WHERE joint >= 3""",
+FROM j JOIN n x ON x.req_group = group_a JOIN n y ON y.req_group = group_b, t""",
 }
