@@ -2,7 +2,7 @@
 
 The forms of the reference entries stand in BK-trees; the triangle inequality prunes the search, which returns every form
 within the threshold. A list of at most SHARD forms is one tree, sent to the workers; a longer list is cut into shards,
-every value is searched in each of them and the winners are merged by one aggregation. Values are searched once each,
+every value is searched in each of them and the winners are merged by the rank they have in one tree. Values are searched once each,
 however often they occur.
 """
 
@@ -166,21 +166,28 @@ class PhraseMatcher:
         plain = glue(re.sub(r"[(\[][^)\]]*[)\]]", " ", text).split())  # without any bracket
         return list(dict.fromkeys(p for p in (whole, glue(bare), glue(rough), plain, *sorted(cut)) if p))
 
-    def find(self, value: str | None) -> tuple[int, str] | None:
+    def ranked(self, value: str | None) -> tuple[list[int], str] | None:
+        """The winner with its rank (stage, distance, order within it, ...): shards of one list merge by it as one tree would."""
         best = None
         probes = self.probes(value)
-        for p in probes:
+        for at, p in enumerate(probes):
             if p in self.owner:
-                return 0, self.owner[p][2]
-        for radius in (2, 4):
+                own, n, core = self.owner[p]
+                return [0, 0, at, own, n], core
+        for stage, radius in enumerate((2, 4), 1):
             for p in probes:
                 for d, form in self.tree.within(p, radius):
                     if (d := slips(form, p) if d > 1 else d) <= min(allowed(form), allowed(p) + 1):
-                        key = (d, *self.owner[form])
+                        own, n, core = self.owner[form]
+                        key = ([stage, d, 0, own, n], core)
                         best = key if best is None or key < best else best
             if best is not None:
                 break
-        return None if best is None else (best[0], best[3])
+        return best
+
+    def find(self, value: str | None) -> tuple[int, str] | None:
+        best = self.ranked(value)
+        return None if best is None else (best[0][1], best[1])
 
 
 # ---- titles ------------------------------------------------------------------------------------------------------------
@@ -206,16 +213,22 @@ class TitleMatcher:
             specialty = [w for w in words if w != role]
             self.key[glue(specialty), glue([role])] = key
         self.specialty = BKTree({s for s, _ in self.key})
-        self.role = BKTree({r for _, r in self.key} | {r + "s" for _, r in self.key})
+        self.roles = {r for _, r in self.key}
+        self.role = BKTree(self.roles | {r + "s" for r in self.roles})
+        # A specialty and its role written as one word, in one and in many.
+        self.joined: dict[str, tuple[int, str]] = {}
+        for (s, r), key in sorted(self.key.items(), key=lambda x: (-len(x[0][0]), x[1]), reverse=True):
+            self.joined[s + r] = self.joined[s + r + "s"] = (-len(s), key)
+        self.whole = BKTree(self.joined)
         self.seen: dict[tuple[str, str], list[tuple[int, str]]] = {}
 
     def _near(self, kind: str, text: str) -> list[tuple[int, str]]:
         if (kind, text) not in self.seen:
             if len(self.seen) > 200_000:
                 self.seen.clear()
-            tree = self.specialty if kind == "s" else self.role
+            tree = {"s": self.specialty, "r": self.role, "w": self.whole}[kind]
             near = [(slips(form, text) if d > 1 else d, form) for d, form in tree.within(text, 4)]
-            self.seen[kind, text] = [(d, f) for d, f in near if d <= (1 if len(f) < 7 else 2)]
+            self.seen[kind, text] = [(d, f) for d, f in near if d <= (1 if len(f) < 7 and kind != "w" else 2)]
         return self.seen[kind, text]
 
     @staticmethod
@@ -231,11 +244,12 @@ class TitleMatcher:
                 out += TITLE_SHORT.get(w, w).split()
         return out
 
-    def find(self, title: str | None) -> tuple[int, str] | None:
+    def ranked(self, title: str | None) -> tuple[list[int], str] | None:
+        """The winner with its rank (stage, distance, words between, ...): shards of one list merge by it as one tree would."""
         words = self.tokens(title)
         roles = []
         for i, w in enumerate(words):
-            roles += [(i, d, f if (f in {r for _, r in self.key}) else f[:-1]) for d, f in self._near("r", w)]
+            roles += [(i, d, f if f in self.roles else f[:-1]) for d, f in self._near("r", w)]
         best = None
         for size in (1, 2, 3):
             for i in range(len(words) - size + 1):
@@ -247,45 +261,48 @@ class TitleMatcher:
                         gap = words[i + size : at] if at >= i + size else words[at + 1 : i] if at < i else None
                         if gap is None or any(w not in TITLE_FILL for w in gap) or (s, r) not in self.key:
                             continue
-                        found = (d + e, len(gap), -len(s), self.key[s, r])
+                        found = ([0, d + e, len(gap), -len(s)], self.key[s, r])
                         best = found if best is None or found < best else best
-        # A specialty and its role written as one word.
         if best is None:
             for w in words:
-                for (s, r), key in self.key.items():
-                    if abs(len(w) - len(s) - len(r)) <= 2 and (d := min(slips(w, s + r), slips(w, s + r + "s"))) <= 2:
-                        found = (d, 0, -len(s), key)
-                        best = found if best is None or found < best else best
-        return None if best is None else (best[0], best[3])
+                for d, form in self._near("w", w):
+                    long, key = self.joined[form]
+                    found = ([1, d, 0, long], key)
+                    best = found if best is None or found < best else best
+        return best
+
+    def find(self, title: str | None) -> tuple[int, str] | None:
+        best = self.ranked(title)
+        return None if best is None else (best[0][1], best[1])
 
 
 # ---- the operator ------------------------------------------------------------------------------------------------------
 
 
-def match_reference(values: DataFrame, value: str, reference: DataFrame, columns: list[str], matcher: type) -> DataFrame:
+def match_reference(values: DataFrame, value: str, reference: DataFrame, columns: list[str], matcher: type, shard: int | None = None) -> DataFrame:
     """Every distinct value with its closest reference entry.
 
     values[value] is matched with the rows of reference[columns] (the first column is the entry) by `matcher`. Result:
     value, canon STRING (NONE where nothing is close), distance INT (NULL for NONE). NULL and blank values give NONE;
-    repeated values give one row; ties go to the commoner or alphabetically first entry; an empty reference gives NONE.
+    repeated values give one row; `shard` is the greatest number of entries in one tree; ties go to the commoner or alphabetically first entry; an empty reference gives NONE.
     """
     spark = values.sparkSession
     distinct = spread(values.select(F.col(f"`{value}`").cast("string").alias("value")).distinct())
     entries = reference.select(*columns).distinct()
-    shards = max(1, -(-entries.count() // SHARD))
+    shards = max(1, -(-entries.count() // (shard or SHARD)))
     out = None
     for b in range(shards):
         part = entries if shards == 1 else entries.filter(F.pmod(F.xxhash64(columns[0]), F.lit(shards)) == b)
-        sent = spark.sparkContext.broadcast(matcher(sorted(tuple(r) for r in part.collect())))  # at most about SHARD rows
+        sent = spark.sparkContext.broadcast(matcher(sorted(tuple(r) for r in part.collect())))  # at most about SHARD entries
 
         def search(batches, sent=sent):
             for pdf in batches:
-                hits = [sent.value.find(v) for v in pdf["value"]]
-                yield pd.DataFrame({"value": pdf["value"], "canon": [h[1] if h else None for h in hits], "distance": pd.array([h[0] if h else None for h in hits], dtype="Int32")})
+                hits = [sent.value.ranked(v) for v in pdf["value"]]
+                yield pd.DataFrame({"value": pdf["value"], "canon": [h[1] if h else None for h in hits], "rank": [h[0] if h else None for h in hits]})
 
-        found = distinct.mapInPandas(search, "value STRING, canon STRING, distance INT")
+        found = distinct.mapInPandas(search, "value STRING, canon STRING, rank ARRAY<BIGINT>")
         out = found if out is None else out.unionByName(found)
     if shards > 1:
-        best = F.min(F.when(F.col("canon").isNotNull(), F.struct("distance", "canon"))).alias("w")
-        out = out.groupBy("value").agg(best).select("value", "w.canon", "w.distance")
+        out = out.groupBy("value").agg(F.min(F.when(F.col("canon").isNotNull(), F.struct("rank", "canon"))).alias("w")).select("value", "w.canon", "w.rank")
+    out = out.select("value", "canon", F.col("rank")[1].cast("int").alias("distance"))
     return out.select("value", F.coalesce("canon", F.lit(NONE)).alias("canon"), "distance")

@@ -2,11 +2,12 @@
 
 A seed is a fixed mask over consecutive tokens; positions marked 0 are ignored, so a replaced word there does not hide the
 match. Both masks together hit every placement of 2 replacements in 20 words and of 3 in 30 (tests/llm/test_leaks.py
-proves it by enumeration). Seed hashes of the test items are joined with those of all documents; around each hit the
-diagonal (document position minus item position) is compared token by token and scored exactly.
+proves it by enumeration).
 
-The test items are the small side: they are sent to the workers in blocks of at most ITEM_BLOCK items, however many there
-are; every block meets all documents in one pass.
+The seeds of the test items are a table (hash, item, place). All documents are tokenised once, in one pass: a bitmap of the
+item hashes, of at most 2 ** MAP_BITS bits however many items there are, lets through the document seeds that may match, and
+only documents with such seeds leave the pass. The seed tables are joined by hash; around each hit the diagonal (document
+position minus item position) is compared token by token and scored exactly. Nothing is collected but the bitmap.
 """
 
 from __future__ import annotations
@@ -22,10 +23,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.session import spread
+from millrace.llm.joins import merged
+from millrace.session import cut, share_path, spread
 
 MASKS = ("1110100111101", "111010110111")
-ITEM_BLOCK = 20_000
+#: The bitmap has 16 bits or more for each item seed, within these bounds (2 ** 27 bits are 16 MB).
+LEAST_BITS, MAP_BITS = 16, 27
+#: A piece of the bitmap: 2 ** PIECE bits.
+PIECE = 16
 #: Least words of a leaked passage, and the share of them that may be replaced.
 MIN_WORDS = 20
 REPLACED = 0.1
@@ -70,25 +75,6 @@ def seeds(ids: np.ndarray, mask: str, salt: int) -> np.ndarray:
     return out
 
 
-class ItemIndex:
-    """Sorted seed hashes of a block of items, with item number and position."""
-
-    def __init__(self, texts: list[str]):
-        self.ids = [_ids(words(t)) for t in texts]
-        hashes, item, pos = [], [], []
-        for k, ids in enumerate(self.ids):
-            for salt, mask in enumerate(MASKS):
-                h = seeds(ids, mask, salt)
-                hashes.append(h)
-                item.append(np.full(len(h), k, np.int32))
-                pos.append(np.arange(len(h), dtype=np.int32))
-        h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        order = np.argsort(h, kind="stable")
-        self.hash = h[order]
-        self.item = np.concatenate(item)[order] if hashes else np.zeros(0, np.int32)
-        self.pos = np.concatenate(pos)[order] if hashes else np.zeros(0, np.int32)
-
-
 def best_run(match: np.ndarray, least: int = MIN_WORDS, replaced: float = REPLACED) -> tuple[int, int]:
     """(words, matching words) of the longest stretch with both ends matching, `least` words or more and at most the
     share `replaced` not matching; (0, 0) if there is none."""
@@ -110,56 +96,107 @@ def best_run(match: np.ndarray, least: int = MIN_WORDS, replaced: float = REPLAC
     return best
 
 
-def _search(batches: Iterator[pd.DataFrame], index: ItemIndex, item_ids: list) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        found: dict[tuple, tuple[int, int]] = {}
-        tokens = [words(t) for t in pdf["text"]]
-        sizes = np.array([len(t) for t in tokens], dtype=np.int64)
-        flat = _ids([w for t in tokens for w in t])
-        start = np.concatenate([[0], np.cumsum(sizes)])
-        for salt, mask in enumerate(MASKS):
-            h = seeds(flat, mask, salt)
-            if not len(h) or not len(index.hash):
-                continue
-            lo = np.searchsorted(index.hash, h, "left")
-            hit = np.nonzero((lo < len(index.hash)) & (index.hash[np.minimum(lo, len(index.hash) - 1)] == h))[0]
-            doc = np.searchsorted(start, hit, "right") - 1
-            inside = hit + len(mask) <= start[doc + 1]
-            hit, doc = hit[inside], doc[inside]
-            hi = np.searchsorted(index.hash, h[hit], "right")
-            count = hi - lo[hit]
-            entry = np.repeat(lo[hit], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            d, p = np.repeat(doc, count), np.repeat(hit - start[doc], count)
-            diagonals = np.unique(np.stack([d, index.item[entry], p - index.pos[entry]]), axis=1) if len(entry) else np.zeros((3, 0), int)
-            for d, k, shift in diagonals.T.tolist():
-                ids = index.ids[k]
-                a = max(0, -shift)
-                b = min(len(ids), int(sizes[d]) - shift)
-                text = flat[start[d] + a + shift : start[d] + b + shift]
-                run = best_run(ids[a:b] == text)
-                if run > found.get((d, k), (0, 0)):
-                    found[d, k] = run
-        rows = [(pdf["doc_id"].iloc[d], item_ids[k], n, same / n) for (d, k), (n, same) in found.items()]
-        yield pd.DataFrame(rows, columns=["doc_id", "item_id", "words", "same_share"])
+def all_seeds(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, position) of both masks at every position of a token array."""
+    h = [seeds(ids, mask, salt) for salt, mask in enumerate(MASKS)]
+    return np.concatenate(h), np.concatenate([np.arange(len(x), dtype=np.int32) for x in h])
+
+
+def _item_tables(tests: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
+    """(item_id, tokens BINARY) of the items and (hash, item_id, place) of their seeds."""
+
+    def tokenise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"item_id": pdf["item_id"], "tokens": [_ids(words(t)).tobytes() for t in pdf["text"]]})
+
+    def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            got = [all_seeds(np.frombuffer(b, dtype=np.uint64)) for b in pdf["tokens"]]
+            count = [len(h) for h, _ in got]
+            h = np.concatenate([h for h, _ in got]) if got else np.zeros(0, np.uint64)
+            place = np.concatenate([p for _, p in got]) if got else np.zeros(0, np.int32)
+            yield pd.DataFrame({"hash": h.astype(np.int64), "item_id": np.repeat(pdf["item_id"].to_numpy(), count), "place": place})
+
+    tokens = cut(tests.mapInPandas(tokenise, f"item_id {kind}, tokens BINARY").filter(F.octet_length("tokens") >= 8 * MIN_WORDS).distinct())
+    return tokens, cut(tokens.mapInPandas(hashes, f"hash BIGINT, item_id {kind}, place INT"))
+
+
+def _bitmap(table: DataFrame, bits: int) -> bytes:
+    """The bitmap of the hashes: bit i is set where a hash starts with the bits of i. Built piece by piece by the workers."""
+    size = 1 << min(PIECE, bits)
+
+    def piece(pdf: pd.DataFrame) -> pd.DataFrame:
+        flags = np.zeros(size, dtype=np.uint8)
+        flags[pdf["slot"].to_numpy() % size] = 1
+        return pd.DataFrame({"piece": [int(pdf["piece"].iloc[0])], "flags": [np.packbits(flags).tobytes()]})
+
+    slots = table.select(F.shiftrightunsigned("hash", 64 - bits).cast("int").alias("slot")).distinct()
+    rows = slots.withColumn("piece", F.floor(F.col("slot") / size).cast("int")).groupBy("piece").applyInPandas(piece, "piece INT, flags BINARY").collect()
+    out = bytearray((1 << bits) // 8)
+    for r in rows:
+        out[r["piece"] * size // 8 : (r["piece"] + 1) * size // 8] = r["flags"]
+    return bytes(out)
 
 
 def find_leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """Documents that reproduce at least MIN_WORDS consecutive words of an item, up to one in ten replaced.
 
-    Result: doc_id, item_id, words (length of the longest such passage), same_share; one row per document and item. NULL
-    and empty texts match nothing, items shorter than MIN_WORDS words are never found, repeated rows give one row, other
-    columns play no part, empty tables give an empty result.
+    Result: doc_id, item_id, words (length of the longest such passage), same_share of that passage; one row per document
+    and item. A passage begins and ends with a matching word. NULL and empty texts match nothing, items shorter than
+    MIN_WORDS words are never found, repeated rows give one row, other columns play no part, empty tables give an empty
+    result.
     """
+    share_path(documents.sparkSession)
     spark = documents.sparkSession
     docs = spread(documents.select(F.col(f"`{doc}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).filter("text IS NOT NULL"))
     tests = items.select(F.col(f"`{item}`").alias("item_id"), F.col(f"`{item_text}`").alias("text")).filter("text IS NOT NULL").distinct()
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {tests.schema['item_id'].dataType.simpleString()}, words INT, same_share DOUBLE"
-    blocks = max(1, -(-tests.count() // ITEM_BLOCK))
-    out = None
-    for b in range(blocks):
-        part = tests if blocks == 1 else tests.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b)
-        rows = part.collect()  # at most about ITEM_BLOCK items
-        sent = spark.sparkContext.broadcast(([r["item_id"] for r in rows], ItemIndex([r["text"] for r in rows])))
-        hits = docs.mapInPandas(lambda it, s=sent: _search(it, s.value[1], s.value[0]), schema)
-        out = hits if out is None else out.unionByName(hits)
-    return out.groupBy("doc_id", "item_id").agg(F.max("words").alias("words"), F.max("same_share").alias("same_share"))
+    doc_kind, kind = docs.schema["doc_id"].dataType.simpleString(), tests.schema["item_id"].dataType.simpleString()
+    tokens, table = _item_tables(tests, kind)
+    bits = min(MAP_BITS, max(LEAST_BITS, (16 * table.count()).bit_length()))
+    sent = spark.sparkContext.broadcast(_bitmap(table, bits))
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        flags, shift = np.frombuffer(sent.value, dtype=np.uint8), np.uint64(64 - bits)
+        for pdf in batches:
+            listed = [words(t) for t in pdf["text"]]
+            sizes = np.array([len(t) for t in listed], dtype=np.int64)
+            flat = _ids([w for t in listed for w in t])
+            start = np.concatenate([[0], np.cumsum(sizes)])
+            h, at = all_seeds(flat)
+            slot = (h >> shift).astype(np.int64)
+            hit = np.nonzero(flags[slot >> 3] & (128 >> (slot & 7)).astype(np.uint8))[0]
+            h, at = h[hit], at[hit]
+            d = np.searchsorted(start, at, "right") - 1
+            order = np.argsort(d, kind="stable")
+            h, at, d = h[order], at[order], d[order]
+            if not len(d):
+                continue
+            have, first = np.unique(d, return_index=True)
+            ends = np.append(first, len(d))[1:]
+            yield pd.DataFrame({
+                "doc_id": pdf["doc_id"].to_numpy()[have], "words": [flat[start[i] : start[i + 1]].tobytes() for i in have],
+                "hash": [h[a:b].astype(np.int64) for a, b in zip(first, ends, strict=True)], "at": [(at[a:b] - start[i]).astype(np.int32) for i, a, b in zip(have, first, ends, strict=True)],
+            })
+
+    met = cut(docs.mapInPandas(scan, f"doc_id {doc_kind}, words BINARY, hash ARRAY<BIGINT>, at ARRAY<INT>").withColumn("row", F.monotonically_increasing_id()))
+    hits = met.select("row", F.explode(F.arrays_zip("hash", "at")).alias("x")).select("row", "x.hash", "x.at")
+    lines = merged(hits, table, "hash").select("row", "item_id", (F.col("at") - F.col("place")).alias("shift")).distinct()
+    lines = lines.groupBy("row", "item_id").agg(F.collect_list("shift").alias("shifts"))
+    both = merged(merged(lines, met.select("row", "doc_id", "words"), "row"), tokens, "item_id")
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for d, i, w, t, shifts in zip(pdf["doc_id"], pdf["item_id"], pdf["words"], pdf["tokens"], pdf["shifts"], strict=True):
+                text, ids, best = np.frombuffer(w, dtype=np.uint64), np.frombuffer(t, dtype=np.uint64), (0, 0)
+                for shift in shifts:
+                    a, b = max(0, -shift), min(len(ids), len(text) - shift)
+                    if b - a >= MIN_WORDS:
+                        best = max(best, best_run(ids[a:b] == text[a + shift : b + shift]))
+                if best[0]:
+                    rows.append((d, i, best[0], best[1] / best[0]))
+            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "words", "same_share"])
+
+    found = both.select("doc_id", "item_id", "words", "tokens", "shifts").mapInPandas(verify, f"doc_id {doc_kind}, item_id {kind}, words INT, same_share DOUBLE")
+    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("words", "same_share")).alias("x"))
+    return best.select("doc_id", "item_id", "x.words", "x.same_share")

@@ -2,8 +2,9 @@
 
 A text of s tokens is of class j = floor(capacity / s) (at most CLASSES): any j texts of that class fit one container.
 Every partition fills the containers of each class with that fixed count, on its own, so nothing is gathered. Classes run
-from long texts to short ones; a text first goes into the tightest gap that earlier containers left and opens a container
-of its class otherwise. What the partitions leave badly filled is packed once more over fewer partitions.
+from long texts to short ones. A text goes into the open container of its class; only where a new one would have to be opened,
+the tightest gap that a container full by count has left is taken instead. What the partitions leave badly filled is packed
+once more over fewer partitions.
 """
 
 from __future__ import annotations
@@ -62,13 +63,13 @@ class Bins:
         self.open: dict[int, list[int]] = {}
 
     def place(self, size: int, kind: int) -> int:
-        k = bisect.bisect_left(self.gaps, (size, -1))
-        if k < len(self.gaps):
-            gap, at = self.gaps.pop(k)
-            self.used[at] += size
-            bisect.insort(self.gaps, (gap - size, at))
-            return at
         if kind not in self.open:
+            k = bisect.bisect_left(self.gaps, (size, -1))
+            if k < len(self.gaps):
+                gap, at = self.gaps.pop(k)
+                self.used[at] += size
+                bisect.insort(self.gaps, (gap - size, at))
+                return at
             self.used.append(0)
             self.open[kind] = [len(self.used) - 1, 0]
         at, n = self.open[kind]

@@ -56,15 +56,31 @@ def test_empty_sides(spark):
     assert find_leaks(docs(spark).limit(0), spark.createDataFrame([(7, ITEM)], items.schema)).count() == 0
 
 
-def test_item_blocks_give_the_same(spark, monkeypatch):
+def test_a_full_bitmap_gives_the_same(spark, monkeypatch):
+    """A bitmap too small for the items lets every seed through; the join decides all the same."""
     from millrace.llm import leaks
 
     items = spark.createDataFrame([(i, " ".join(f"v{i}x{k}" for k in range(30))) for i in range(5)] + [(7, ITEM)], "item_id BIGINT, text STRING")
     text = docs(spark).unionByName(spark.createDataFrame([(50, " ".join(f"v3x{k}" for k in range(30)), "", 0)], DOC))
     whole = {tuple(r) for r in find_leaks(text, items).collect()}
-    monkeypatch.setattr(leaks, "ITEM_BLOCK", 2)
+    monkeypatch.setattr(leaks, "LEAST_BITS", 3)
+    monkeypatch.setattr(leaks, "MAP_BITS", 3)
     assert {tuple(r) for r in find_leaks(text, items).collect()} == whole and (50, 3, 30, 1.0) in whole
 
 
+def test_every_document_is_tokenised_once(spark):
+    items = spark.createDataFrame([(i, " ".join(f"v{i}x{k}" for k in range(30))) for i in range(40)], "item_id BIGINT, text STRING")
+    seen = spark.sparkContext.accumulator(0)
+    text = spark.createDataFrame([(i, f"text {i}") for i in range(50)], "doc_id BIGINT, text STRING")
+
+    def count(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    find_leaks(text.mapInPandas(count, text.schema), items).collect()
+    assert seen.value == 50
+
+
 def test_words_drop_markup():
     assert words("A<b>b</b>c <p>It&#39;s</p><br>so-called") == ["abc", "its", "so", "called"]

@@ -40,3 +40,11 @@ def test_texts(spark, rows_per_task):
     counts = {d: sum(1 for r in out if r["doc_id"] == d) for d in (1, 2, 3, 5)}
     assert counts == {1: 1, 2: 0, 3: 1, 5: 2} and len(out) == len(rows) - 1 + 2
     assert pack(df.limit(0)).count() == 0
+
+
+def test_fill_over_many_tasks(spark):
+    """Lengths of every size over 12 tasks: little space is unused, though no task sees another's texts."""
+    r = random.Random(3)
+    df = spark.createDataFrame([(i, "some more words " * max(1, int(r.lognormvariate(3.2, 0.9)))) for i in range(6000)], "doc_id BIGINT, text STRING")
+    out = pack(df, rows_per_task=500).toPandas()
+    assert out["tokens"].sum() >= 0.97 * CAPACITY * out["container"].nunique()
