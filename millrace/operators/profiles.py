@@ -7,8 +7,12 @@ after noise and excluded clusters went.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -134,36 +138,82 @@ def share_deltas(shares: DataFrame, cell: str, cluster: str, origin: str, target
 
 
 def uniform(*keys: Column | str) -> Column:
-    """A uniform number in [0, 1) that depends on the keys only, alike on every run and cluster."""
-    return F.pmod(F.xxhash64(*keys), F.lit(1 << 40)).cast("double") / float(1 << 40)
+    """A uniform number in [0, 1) that depends on the keys only, alike on every run and in every engine: 40 bits of a SHA-256."""
+    text = F.concat_ws("|", *[F.col(k) if isinstance(k, str) else k for k in keys])
+    return F.conv(F.substring(F.sha2(text, 256), 1, 10), 16, 10).cast("double") / float(1 << 40)
 
 
-def _poisson(u: Column) -> Column:
-    """Poisson(1) by inverse distribution; 8 and more are taken as 8 (probability 1e-6)."""
-    total, p, out = 0.0, 0.36787944117144233, F.lit(8)
-    edges = []
-    for k in range(8):
+def poisson_edges() -> list[int]:
+    """The 16-bit numbers below which a Poisson(1) weight is 0, 1, 2, ...; weights of 7 and more are taken as 7."""
+    total, p, out = 0.0, 0.36787944117144233, []
+    for k in range(7):
         total += p
-        edges.append((k, total))
+        out.append(round(total * 65536))
         p /= k + 1
-    for k, edge in reversed(edges):
-        out = F.when(u < edge, F.lit(k)).otherwise(out)
     return out
 
 
+def draw_weights(units: list, draws: int, seed: int) -> np.ndarray:
+    """units x draws weights: draw d of a unit is a 16-bit piece of the SHA-256 of seed, unit and d // 16."""
+    blocks = -(-draws // 16)
+    raw = b"".join(hashlib.sha256(f"{seed}|{u}|{b}".encode()).digest() for u in units for b in range(blocks))
+    return np.searchsorted(poisson_edges(), np.frombuffer(raw, dtype=">u2").reshape(len(units), blocks * 16)[:, :draws], side="right").astype(np.int32)
+
+
+def _weighted_counts(rows: DataFrame, keys: list[str], unit: str, draws: int, seed: int) -> DataFrame:
+    """keys and w ARRAY<INT>: for every draw, the weights of the units that stand with the keys, summed.
+
+    Each batch draws the weights of its units once and sums them per key, so rows are not multiplied by draws.
+    """
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            codes, seen = pd.factorize(pdf[unit])
+            weights = draw_weights(list(seen), draws, seed)
+            groups = pdf.groupby(keys, sort=False, dropna=False).indices
+            got = [(*(k if isinstance(k, tuple) else (k,)), weights[codes[at]].sum(axis=0)) for k, at in groups.items()]
+            yield pd.DataFrame(got, columns=[*keys, "w"])
+
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+    sums = rows.select(*keys, F.col(unit).cast("string").alias(unit)).mapInPandas(partial, f"{kinds}, w ARRAY<INT>")
+    add = F.aggregate("ws", F.array_repeat(F.lit(0), draws), lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
+    return sums.groupBy(*keys).agg(F.collect_list("w").alias("ws")).select(*keys, add.alias("w"))  # one array a partition
+
+
 def bootstrap_index(facts: DataFrame, fn: str, cell: str, cluster: str, unit: str, draws: int, seed: int) -> DataFrame:
     """(fn, draw, js, cosine): the distance index of `draws` resamples of the units.
 
     Every unit gets a Poisson(1) weight per draw from a hash, which is resampling with replacement without moving units;
-    shares are weighted sums, so all draws are one aggregation.
+    shares are weighted sums, so all draws are one pass. A cell that a draw leaves without units is no cell of that draw.
     """
     slim = facts.select(fn, cell, cluster, unit).distinct()
-    draw = slim.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("w", _poisson(uniform(F.lit(seed), unit, "draw"))).filter("w > 0")
-    hits = draw.groupBy(fn, "draw", cell, cluster).agg(F.sum("w").alias("hits"))
-    units = slim.select(fn, cell, unit).distinct().withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("w", _poisson(uniform(F.lit(seed), unit, "draw")))
-    totals = units.groupBy(fn, "draw", cell).agg(F.sum("w").alias("total"))
-    shares = hits.join(totals, [fn, "draw", cell]).withColumn("share", F.col("hits") / F.col("total"))
-    return grouped_index(shares, [fn, "draw"], cell, cluster)
+    hits = _weighted_counts(slim, [fn, cell, cluster], unit, draws, seed)
+    totals = _weighted_counts(slim.select(fn, cell, unit).distinct(), [fn, cell], unit, draws, seed)
+    both = hits.withColumnRenamed("w", "hits").join(totals.withColumnRenamed("w", "total"), [fn, cell]).select(F.col(fn).alias("fn"), F.col(cell).cast("string").alias("cell"), "hits", "total", F.col(cluster).cast("string").alias("k"))
+
+    def index(pdf: pd.DataFrame) -> pd.DataFrame:
+        cells, names = pd.factorize(pdf["cell"], sort=True)
+        ks, clusters = pd.factorize(pdf["k"])
+        share = np.zeros((len(names), len(clusters), draws))
+        h, n = np.stack(pdf["hits"].to_numpy()).astype(float), np.stack(pdf["total"].to_numpy()).astype(float)
+        share[cells, ks] = np.divide(h, n, out=np.zeros_like(h), where=n > 0)
+        total = share.sum(axis=1)
+        p = np.divide(share, total[:, None], out=np.zeros_like(share), where=total[:, None] > 0)
+        js, cosine, pairs = np.zeros(draws), np.zeros(draws), np.zeros(draws)
+        for a in range(len(names)):
+            for b in range(a + 1, len(names)):
+                middle = (p[a] + p[b]) / 2
+                both = [np.where(x > 0, x * np.log2(np.divide(x, middle, out=np.ones_like(x), where=middle > 0), where=x > 0, out=np.zeros_like(x)), 0.0).sum(axis=0) for x in (p[a], p[b])]
+                ok = (total[a] > 0) & (total[b] > 0)
+                norm = np.sqrt((share[a] ** 2).sum(axis=0) * (share[b] ** 2).sum(axis=0))
+                js += np.where(ok, np.sqrt(np.maximum(0.0, 0.5 * (both[0] + both[1]))), 0.0)
+                cosine += np.where(ok, 1 - np.divide((share[a] * share[b]).sum(axis=0), norm, out=np.zeros(draws), where=norm > 0), 0.0)
+                pairs += ok
+        keep = pairs > 0
+        return pd.DataFrame({"fn": pdf["fn"].iloc[0], "draw": np.arange(draws)[keep], "js": js[keep] / pairs[keep], "cosine": cosine[keep] / pairs[keep]})
+
+    kind = facts.schema[fn].dataType.simpleString()
+    return both.groupBy("fn").applyInPandas(index, f"fn {kind}, draw INT, js DOUBLE, cosine DOUBLE").withColumnRenamed("fn", fn)
 
 
 def grouped_index(shares: DataFrame, by: list[str], cell: str, cluster: str) -> DataFrame:
@@ -205,7 +255,7 @@ def permutation_null(facts: DataFrame, cell: str, cluster: str, unit: str, draws
     hits = shuffled.groupBy("draw", cell, cluster).agg(F.count(F.lit(1)).alias("hits"))
     totals = given.groupBy("draw", cell).agg(F.count(F.lit(1)).alias("total"))
     shares = hits.join(totals, ["draw", cell]).withColumn("share", F.col("hits") / F.col("total"))
-    return grouped_index(shares, ["draw"], cell, cluster).select("draw", "js")
+    return grouped_index(shares, ["draw"], cell, cluster).select(F.col("draw").cast("int").alias("draw"), "js")
 
 
 def summarise_draws(draws: DataFrame, by: list[str], value: str) -> DataFrame:

@@ -12,8 +12,8 @@ from pyspark.sql.window import Window
 
 ASSIGN_MIN = 0.55
 TYPE_MIN, TYPE_MARGIN = 0.20, 0.02
-#: A side with at most this many vectors may be sent to the workers; a larger one is joined block by block.
-SMALL_SIDE = 200_000
+#: Bytes of vectors that are sent to the workers at once, and of a product that is held at once.
+SMALL_SIDE, TILE = 64 << 20, 32 << 20
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -37,10 +37,10 @@ def centroids(df: DataFrame, label: str, vector: str) -> DataFrame:
 def best_two(df: DataFrame, key: str, vector: str, entries: DataFrame, entry: str, entry_vector: str) -> DataFrame:
     """(key, best, best_cos, second_cos): the two nearest entries by cosine; ties go to the smaller entry.
 
-    Up to SMALL_SIDE entries are sent to the workers and scored as one matrix product a batch; a longer list is taken in
-    blocks of that size and the block winners are merged.
+    Entries of up to SMALL_SIDE bytes are sent to the workers and scored as products of TILE bytes; a longer list is taken
+    in blocks of that size and the block winners are merged.
     """
-    n = entries.count()
+    n = entries.agg(F.sum(F.size(entry_vector).cast("bigint") * 8)).first()[0] or 0
     if n > SMALL_SIDE:
         blocks = -(-n // SMALL_SIDE)
         parts = [_best_in_block(df, key, vector, entries.filter(F.pmod(F.xxhash64(entry), F.lit(blocks)) == b), entry, entry_vector) for b in range(blocks)]
@@ -52,7 +52,7 @@ def best_two(df: DataFrame, key: str, vector: str, entries: DataFrame, entry: st
 
 
 def _best_in_block(df: DataFrame, key: str, vector: str, entries: DataFrame, entry: str, entry_vector: str) -> DataFrame:
-    """best_two for one block of about SMALL_SIDE entries."""
+    """best_two for one block of entries."""
     spark = df.sparkSession
     rows = entries.select(entry, unit(F.col(entry_vector)).alias("v")).filter("v IS NOT NULL").orderBy(entry).collect()
     names, matrix = [r[0] for r in rows], np.array([r[1] for r in rows], dtype=np.float64).reshape(len(rows), -1 if rows else 0)
@@ -64,13 +64,16 @@ def _best_in_block(df: DataFrame, key: str, vector: str, entries: DataFrame, ent
         for pdf in batches:
             if not len(pdf) or not names:
                 continue
-            c = np.round(np.stack(pdf["v"].to_numpy()) @ matrix.T, 9)
-            first = c.argmax(axis=1)
-            at = np.arange(len(c))
-            top = c[at, first].copy()
-            c[at, first] = -2.0
-            second = c.max(axis=1) if c.shape[1] > 1 else np.full(len(c), -1.0)
-            yield pd.DataFrame({key: pdf[key], "best": [names[i] for i in first], "best_cos": top, "second_cos": second})
+            step = max(1, TILE // (8 * len(names)))
+            for k in range(0, len(pdf), step):
+                part = pdf.iloc[k : k + step]
+                c = np.round(np.stack(part["v"].to_numpy()) @ matrix.T, 9)
+                first = c.argmax(axis=1)
+                at = np.arange(len(c))
+                top = c[at, first].copy()
+                c[at, first] = -2.0
+                second = c.max(axis=1) if c.shape[1] > 1 else np.full(len(c), -1.0)
+                yield pd.DataFrame({key: part[key], "best": [names[i] for i in first], "best_cos": top, "second_cos": second})
 
     kinds = f"{key} {df.schema[key].dataType.simpleString()}, best {entries.schema[entry].dataType.simpleString()}, best_cos DOUBLE, second_cos DOUBLE"
     return given.mapInPandas(score, kinds)

@@ -84,19 +84,19 @@ def factor_ranking(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def bootstrap_summary(spark: SparkSession, folder: str) -> DataFrame:
-    """Interval of the index per order status over 20 resamples."""
-    draws = P.bootstrap_index(facts(spark, folder), "fn", "industry", "cluster", "posting", draws=20, seed=20260911)
-    return P.summarise_draws(draws, ["fn"], "js")
+    """Interval of the index per order status over 1,000 resamples."""
+    draws = P.bootstrap_index(facts(spark, folder), "fn", "industry", "cluster", "posting", draws=1000, seed=20260911)
+    return _r(P.summarise_draws(draws, ["fn"], "js"), "mean", "low", "high")
 
 
 def bootstrap_ratio(spark: SparkSession, folder: str) -> DataFrame:
-    draws = P.bootstrap_index(facts(spark, folder), "fn", "industry", "cluster", "posting", draws=20, seed=20260911)
-    return P.ratio_interval(draws, "fn", "F", "O", "js")
+    draws = P.bootstrap_index(facts(spark, folder), "fn", "industry", "cluster", "posting", draws=1000, seed=20260911)
+    return _r(P.ratio_interval(draws, "fn", "F", "O", "js"), "mean", "low", "high", "above_one")
 
 
 def permutation_null(spark: SparkSession, folder: str) -> DataFrame:
-    """The index that shuffled industries give (20 draws)."""
-    return P.permutation_null(facts(spark, folder), "industry", "cluster", "posting", draws=20, seed=7)
+    """The index that shuffled industries give (40 draws)."""
+    return _r(P.permutation_null(facts(spark, folder), "industry", "cluster", "posting", draws=40, seed=7), "js")
 
 
 def career_delta(spark: SparkSession, folder: str) -> DataFrame:
@@ -177,6 +177,14 @@ LEFT JOIN n x ON x.fn = g.fn AND x.cell = cell_a AND x.k = g.k LEFT JOIN n y ON
 d AS (SELECT fn, cell_a, cell_b, sqrt(greatest(0, 0.5 * sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END) + 0.5 * sum(CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END))) AS js,
 1 - sum(sa * sb) / sqrt(sum(sa * sa) * sum(sb * sb)) AS cosine, 1 - sum(least(p, q)) AS overlap FROM v GROUP BY 1, 2, 3)"""
 
+#: Shares of 1,000 resamples: the weight of a unit in draw d is read from 16 bits of a SHA-256 (profiles.draw_weights).
+_EDGES = " ".join(f"WHEN u < {edge} THEN {k}" for k, edge in enumerate(P.poisson_edges()))
+_DRAWS = f"""s0 AS (SELECT DISTINCT fn, industry AS cell, cluster AS k, posting AS u FROM facts), un AS (SELECT DISTINCT u FROM s0),
+hx AS (SELECT un.u, b, sha256('20260911|' || un.u || '|' || b) AS h FROM un, range(0, 63) r(b)),
+w AS (SELECT unit, draw, CASE {_EDGES} ELSE 7 END AS w FROM (SELECT u AS unit, b * 16 + i AS draw, ('0x' || substr(h, 1 + 4 * i::INT, 4))::INT AS u FROM hx, range(0, 16) q(i)) WHERE draw < 1000),
+h AS (SELECT fn, draw, cell, k, sum(w) AS hits FROM s0 JOIN w ON unit = u WHERE w > 0 GROUP BY ALL), t AS (SELECT fn, draw, cell, sum(w) AS total FROM (SELECT DISTINCT fn, cell, u FROM s0) JOIN w ON unit = u GROUP BY ALL),
+sh AS (SELECT fn || '|' || h.draw AS fn, cell, k, hits / total AS share FROM h JOIN t USING (fn, draw, cell)), {_DIST}, j AS (SELECT split_part(fn, '|', 1) AS fn, split_part(fn, '|', 2)::INT AS draw, avg(js) AS js FROM d GROUP BY ALL)"""
+
 _CORE = f"""WITH {FACTS_SQL}, {_shares('fn', 'nation', 'cluster')},
 f AS (SELECT fn, k, count(DISTINCT u) AS fh FROM s GROUP BY 1, 2), ft AS (SELECT fn, count(DISTINCT u) AS fnt FROM s GROUP BY 1),
 cs AS (SELECT sh.fn, cell AS nation, sh.k AS cluster, hits, total, share, fh / fnt AS function_share, share / nullif(fh / fnt, 0) AS lift, hits >= 20 AS reliable,
@@ -210,6 +218,14 @@ x AS (SELECT ks.k AS cluster, coalesce(b.share, 0) - coalesce(a.share, 0) AS del
     "geo_overlap": f"""WITH {FACTS_SQL}, {_shares('industry', 'nation', 'cluster')}, tot AS (SELECT fn, cell, max(total) AS t FROM sh GROUP BY 1, 2), q AS (SELECT a.fn, a.cell AS origin, b.cell AS target, a.t AS ta, b.t AS tb FROM tot a JOIN tot b ON a.fn = b.fn AND a.cell <> b.cell)
 SELECT q.fn AS industry, origin, target, round(CASE WHEN min(ta) >= 60 AND min(tb) >= 60 THEN sum(least(coalesce(x.share, 0), y.share)) / sum(y.share) END, 6) AS kept FROM q
 JOIN sh y ON y.fn = q.fn AND y.cell = target LEFT JOIN sh x ON x.fn = q.fn AND x.cell = origin AND x.k = y.k GROUP BY 1, 2, 3""",
+    "bootstrap_summary": f"""WITH {FACTS_SQL}, {_DRAWS} SELECT fn, count(*) AS draws, round(avg(js), 6) AS mean, round(quantile_cont(js, 0.025), 6) AS low, round(quantile_cont(js, 0.975), 6) AS high FROM j GROUP BY 1""",
+    "bootstrap_ratio": f"""WITH {FACTS_SQL}, {_DRAWS}, r AS (SELECT a.js / b.js AS r FROM j a JOIN j b ON a.draw = b.draw AND a.fn = 'F' AND b.fn = 'O')
+SELECT count(*) AS draws, round(avg(r), 6) AS mean, round(quantile_cont(r, 0.025), 6) AS low, round(quantile_cont(r, 0.975), 6) AS high, round(avg(CASE WHEN r > 1 THEN 1.0 ELSE 0.0 END), 6) AS above_one FROM r""",
+    "permutation_null": f"""WITH {FACTS_SQL}, s0 AS (SELECT DISTINCT industry AS cell, cluster AS k, posting AS u FROM facts), un AS (SELECT DISTINCT u, cell FROM s0), z AS (SELECT cell, count(*) AS n FROM un GROUP BY 1),
+e AS (SELECT cell AS new, sum(n) OVER (ORDER BY cell) / sum(n) OVER () AS hi, coalesce(sum(n) OVER (ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(n) OVER () AS lo FROM z),
+pv AS (SELECT u, draw, ('0x' || substr(sha256('7|' || u || '|' || draw), 1, 10))::BIGINT / 1099511627776.0::DOUBLE AS x FROM un, range(0, 40) r(draw)), pg AS (SELECT u, draw, new AS cell FROM pv JOIN e ON x >= lo AND x < hi),
+h AS (SELECT draw, pg.cell, k, count(*) AS hits FROM (SELECT DISTINCT u, k FROM s0) a JOIN pg ON a.u = pg.u GROUP BY ALL), t AS (SELECT draw, cell, count(*) AS total FROM pg GROUP BY ALL),
+sh AS (SELECT draw AS fn, cell, k, hits / total AS share FROM h JOIN t USING (draw, cell)), {_DIST} SELECT fn AS draw, round(avg(js), 6) AS js FROM d GROUP BY 1""",
     "residual_by_function": f"""WITH {FACTS_SQL}, x AS (SELECT fn, quantity, CASE WHEN type IN ('PROMO', 'ECONOMY') THEN 1.0 ELSE 0.0 END AS l FROM facts)
 SELECT fn, count(*) AS atoms, round(avg(l), 6) AS residual, round(avg(l) FILTER (quantity >= 10), 6) AS residual_clean FROM x GROUP BY 1""",
     "residual_reason": f"""WITH {FACTS_SQL}, p AS (SELECT cluster, avg(CASE WHEN flag = 'A' THEN 1.0 ELSE 0.0 END) AS e, avg(CASE WHEN quantity > 25 THEN 1.0 ELSE 0.0 END) AS c, min(type) AS type FROM facts GROUP BY 1),

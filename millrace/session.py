@@ -38,7 +38,7 @@ def share_path(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: the cluster's spark.checkpoint.dir; a temporary one only where none is named."""
+    """The folder for checkpoints: the cluster's spark.checkpoint.dir; a temporary one only where none is named and all runs on one machine."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if named:
@@ -46,12 +46,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             context.setCheckpointDir(named)
         return named
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-checkpoint-"))
     return context.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the shared checkpoint folder, so that its lineage ends there and survives lost executors."""
+    share_path(df.sparkSession)
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -61,6 +64,7 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
     A large input has more splits than cores and passes unchanged; only small files gain a shuffle.
     """
+    share_path(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
         return df

@@ -47,10 +47,12 @@ def admit(stream: DataFrame, place: str, gate=None) -> None:
         rows = df if gate is None else df.filter(gate)
         rows = rows.groupBy("advert_key").agg(F.min(F.struct("posting_row", "id", "title", "job")).alias("b")).select("advert_key", "b.*")
         spark = df.sparkSession
-        for earlier in range(number):  # the batches before, as far as they wrote anything
-            path = spark._jvm.org.apache.hadoop.fs.Path(f"{place}/adverts/batch={earlier}")
-            if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-                rows = rows.join(spark.read.parquet(f"{place}/adverts/batch={earlier}").select("advert_key"), "advert_key", "left_anti")
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{place}/adverts")
+        if number and path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            # One read of all batches before, the keys only; a batch that is run again does not see itself.
+            schema = rows.select("advert_key").schema.add("batch", "int")
+            known = spark.read.schema(schema).option("basePath", f"{place}/adverts").parquet(f"{place}/adverts").filter(F.col("batch") < number)
+            rows = rows.join(known.select("advert_key"), "advert_key", "left_anti")
         rows.write.mode("overwrite").parquet(f"{place}/adverts/batch={number}")
 
     run(keyed, batch, place)

@@ -110,7 +110,8 @@ def test_entries_in_blocks_give_the_same(spark, folder, monkeypatch):
     rows = spark.read.parquet(f"{folder}/embeddings.parquet")
     cents = vectors.centroids(rows, "label", "embedding")
     whole = {tuple(r) for r in vectors.best_two(rows, "vec_id", "embedding", cents, "label", "centroid").collect()}
-    monkeypatch.setattr(vectors, "SMALL_SIDE", 3)
+    monkeypatch.setattr(vectors, "SMALL_SIDE", 2000)
+    monkeypatch.setattr(vectors, "TILE", 500)
     assert {tuple(r) for r in vectors.best_two(rows, "vec_id", "embedding", cents, "label", "centroid").collect()} == whole
 
 
