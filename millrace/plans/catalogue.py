@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 FLAGSHIP = "core_shell"
-MODULES = ("packed", "q_audit", "q_profiles", "q_groups", "q_runs", "q_text", "q_pipeline", "q_more")
+MODULES = ("packed", "q_audit", "q_profiles", "q_groups", "q_runs", "q_text", "q_pipeline", "q_more", "q_review")
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
