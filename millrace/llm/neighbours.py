@@ -108,11 +108,13 @@ def _run_pairs(pdf: pd.DataFrame, depth: int, k: int, least: float) -> pd.DataFr
                     c = m[rows] @ m[right].T
                     slack = off[rows][:, None] + off[right][None, :] + off[rows][:, None] * off[right][None, :]
                     c[rows[:, None] == right[None, :]] = -9.0
-                    most = c + slack
-                    if len(right) > k:
-                        floor = np.partition(c - slack, len(right) - k, axis=1)[:, len(right) - k]
-                        most[most < floor[:, None]] = -9.0
-                    r, s = np.nonzero(most >= least)
+                    maybe = c + slack >= least
+                    full = np.nonzero(maybe.sum(axis=1) > k)[0]
+                    if len(full):
+                        # More than k may reach `least`: those certainly behind k others are out.
+                        floor = np.partition(c[full] - slack[full], len(right) - k, axis=1)[:, len(right) - k]
+                        maybe[full] &= c[full] + slack[full] >= floor[:, None]
+                    r, s = np.nonzero(maybe)
                     out_a.append(ids[rows[r]])
                     out_b.append(ids[right[s]])
     if not out_a:
