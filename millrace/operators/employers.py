@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.session import cut
+
 from millrace.operators.profiles import uniform
 
 
@@ -45,32 +47,46 @@ def dedup_exact(sets: DataFrame, employer: str, unit: str) -> DataFrame:
     return kept.groupBy(employer).agg(F.sum("copies").alias("adverts"), F.count(F.lit(1)).alias("distinct_adverts"))
 
 
+def similar_sets(sets: DataFrame, employer: str, unit: str, threshold: float) -> DataFrame:
+    """(employer, early, late) for sets of one employer with Jaccard similarity `threshold` or more, early < late.
+
+    Exact prefix filter: with its items in a fixed order, a set of n items shares one of the first n - ceil(threshold n) + 1
+    with every set that is similar enough; the order puts rare items first, so that an item that all have pairs few.
+    """
+    rows = sets.select(employer, unit, F.array_distinct("items").alias("items")).filter("size(items) > 0").withColumn("size", F.size("items"))
+    items = rows.select(employer, unit, "size", F.explode("items").alias("item"))
+    often = items.groupBy("item").agg(F.count(F.lit(1)).alias("often"))
+    place = F.row_number().over(Window.partitionBy(employer, unit).orderBy("often", "item"))
+    head = items.join(often, "item").withColumn("place", place).filter(F.col("place") <= F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1)
+    left = head.select(employer, "item", F.col(unit).alias("early"), F.col("size").alias("n"))
+    right = head.select(employer, "item", F.col(unit).alias("late"), F.col("size").alias("m"))
+    maybe = left.join(right, [employer, "item"]).filter("early < late").filter(F.least("n", "m") >= threshold * F.greatest("n", "m") - 1e-9).select(employer, "early", "late").distinct()
+    a = rows.select(employer, F.col(unit).alias("early"), F.col("items").alias("x"))
+    b = rows.select(employer, F.col(unit).alias("late"), F.col("items").alias("y"))
+    both = maybe.join(a, [employer, "early"]).join(b, [employer, "late"])
+    return both.filter(F.size(F.array_intersect("x", "y")) >= threshold * F.size(F.array_union("x", "y")) - 1e-9).select(employer, "early", "late")
+
+
 def dedup_leader(sets: DataFrame, employer: str, unit: str, threshold: float) -> DataFrame:
     """(employer, unit) that greedy leader clustering keeps: by id, an advert stays if it is less like every kept one.
 
-    Equal sets are collapsed first, so only distinct contents of one employer meet in one task; adverts without items stay.
+    Equal sets are collapsed first; adverts without items stay. The order is resolved by rounds over all employers at once:
+    who has no similar earlier advert left stays, whoever is like one that stays goes, and what has gone stands in nobody's
+    way; as many rounds as the longest chain of adverts that wait for one another, and no group is held in one task.
     """
-    schema = f"{employer} {sets.schema[employer].dataType.simpleString()}, {unit} {sets.schema[unit].dataType.simpleString()}"
-    once = sets.groupBy(employer, "items").agg(F.min(unit).alias(unit))
-
-    def leaders(pdf):
-        pdf = pdf.sort_values(unit)
-        kept, rows, by_item = [], [], {}
-        for u, items in zip(pdf[unit], pdf["items"], strict=True):
-            mine = set(items)
-            near: dict[int, int] = {}
-            for x in mine:
-                for k in by_item.get(x, ()):
-                    near[k] = near.get(k, 0) + 1
-            if mine and any(n / (len(mine) + kept[k] - n) >= threshold for k, n in near.items()):
-                continue
-            for x in mine:
-                by_item.setdefault(x, []).append(len(kept))
-            kept.append(len(mine))
-            rows.append(u)
-        return pdf[pdf[unit].isin(rows)][[employer, unit]]
-
-    return once.groupBy(employer).applyInPandas(leaders, schema)
+    once = cut(sets.groupBy(employer, "items").agg(F.min(unit).alias(unit)))
+    edges = cut(similar_sets(once, employer, unit, threshold))
+    gone = None
+    while not edges.isEmpty():
+        waits = edges.select(employer, F.col("late").alias("early")).distinct()
+        stay = edges.select(employer, "early").distinct().join(waits, [employer, "early"], "left_anti")
+        out = cut(edges.join(stay, [employer, "early"], "left_semi").select(employer, F.col("late").alias(unit)).distinct())
+        gone = out if gone is None else gone.unionByName(out)
+        # Links of those that are settled, either way, are done with.
+        left = edges.join(out.withColumnRenamed(unit, "late"), [employer, "late"], "left_anti").join(out.withColumnRenamed(unit, "early"), [employer, "early"], "left_anti")
+        edges = cut(left.join(stay, [employer, "early"], "left_anti"))
+    kept = once.select(employer, unit)
+    return kept if gone is None else kept.join(gone, [employer, unit], "left_anti")
 
 
 def self_similarity(sets: DataFrame, employer: str, unit: str, pairs: int, seed: int) -> DataFrame:

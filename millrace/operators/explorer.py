@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.operators.profiles import uniform
+
 from millrace.session import cut
 
 
@@ -128,7 +130,7 @@ def heaps_fit(curve: DataFrame, tail: float = 0.2) -> DataFrame:
 
 def holdout_coverage(rows: DataFrame, advert: str, text: str, test: Column, steps: int) -> DataFrame:
     """(step, coverage): share of test occurrences whose text stands in the first share of the training adverts (by hash)."""
-    u = F.pmod(F.xxhash64(advert), F.lit(1 << 20)).cast("double") / float(1 << 20)
+    u = uniform(F.lit("holdout"), advert)
     first = rows.filter(~test).groupBy(text).agg(F.min(u).alias("u"))
     seen = rows.filter(test).select(text).join(first, text, "left")
     shares = [F.round(F.avg((F.coalesce("u", F.lit(2.0)) < k / steps).cast("double")), 6).alias(f"s{k}") for k in range(1, steps + 1)]

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.operators.profiles import uniform
+
 MIN_PAIRS, REF_MIN_PAIRS, P_RED, P_YELLOW = 10, 30, 0.01, 0.05
 ERROR_YELLOW, ERROR_RED = 0.03, 0.06
 
@@ -34,7 +36,7 @@ def reference_bands(per_posting: DataFrame, numerator: str, denominator: str, si
     for size in sizes:
         slots = max(1, total // size)
         take = min(slots, runs)
-        slot = F.pmod(F.xxhash64("posting_id", F.lit(seed), F.lit(size)), F.lit(slots))
+        slot = F.floor(uniform(F.lit(seed), F.lit(size), "posting_id") * slots).cast("int")
         ratios = per_posting.withColumn("slot", slot).filter(F.col("slot") < take).groupBy("slot").agg((F.sum(numerator) / F.sum(denominator)).alias("r"))
         q = ratios.agg(F.expr("percentile(r, array(0.01, 0.05, 0.5, 0.95, 0.99))").alias("q"), F.count(F.lit(1)).alias("runs"))
         part = q.select(F.lit(size).alias("size"), "runs", *[F.col("q")[i].alias(f"p{p}") for i, p in enumerate((1, 5, 50, 95, 99))])

@@ -140,6 +140,9 @@ SELECT CASE WHEN n <= 5 THEN '1-5' WHEN n <= 10 THEN '6-10' WHEN n <= 15 THEN '1
     "cap_per_employer": "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) <= 5",
     "employer_unit": f"""WITH {FACTS_SQL}, t AS (SELECT industry, count(DISTINCT posting) AS p, count(DISTINCT company) AS c FROM facts GROUP BY 1)
 SELECT f.industry, cluster, round(count(DISTINCT posting) / any_value(p), 6) AS posting_share, round(count(DISTINCT company) / any_value(c), 6) AS company_share FROM facts f JOIN t ON f.industry = t.industry GROUP BY 1, 2""",
+    "employer_self_similarity": f"""WITH {FACTS_SQL}, s AS (SELECT company, posting, list(DISTINCT type) AS items, ('0x' || substr(sha256('5|' || posting), 1, 10))::BIGINT / 1099511627776.0::DOUBLE AS u FROM facts GROUP BY 1, 2),
+r AS (SELECT company, items, lead(items) OVER w AS nxt, row_number() OVER w AS r FROM s WINDOW w AS (PARTITION BY company ORDER BY u, posting)), p AS (SELECT company, len(list_intersect(items, nxt)) AS i, len(items) AS a, len(nxt) AS b FROM r WHERE nxt IS NOT NULL AND r <= 300)
+SELECT company, count(*) AS pairs, round(avg(i / (a + b - i)), 6) AS similarity FROM p GROUP BY 1""",
     "content_dedup_exact": f"""WITH {FACTS_SQL}, s AS (SELECT company, posting, list_sort(list(DISTINCT brand)) AS items FROM facts GROUP BY 1, 2)
 SELECT company, count(*) AS adverts, count(DISTINCT items) AS distinct_adverts FROM s GROUP BY 1""",
     "connected_components": """WITH RECURSIVE l AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem), e AS (SELECT DISTINCT a.p AS a, b.p AS b FROM l a JOIN l b ON a.o = b.o AND a.p <> b.p),

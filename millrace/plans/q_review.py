@@ -236,6 +236,7 @@ QUERIES = {f.__name__: f for f in (
 
 _K = r"regexp_replace(lower({}), '[^\p{{L}}\p{{N}}+#]+', '', 'g')"
 _list = lambda xs: ", ".join(f"'{x}'" for x in xs)
+_ROLE = r"(?i)^(.{2,40}?)\s+(?:or|/|and/or)\s+(.{2,40}?)\s+(engineer|developer|manager|analyst|consultant|specialist|architect|administrator)s?$"
 _VARIANTS = r"""low AS (SELECT title_key, lower(trim(title_key)) AS l FROM title_dictionary),
 sg AS (SELECT title_key, l, array_to_string(list_sort(list_transform(regexp_split_to_array(l, '[^\p{L}\p{N}+#]+'), lambda w: CASE WHEN length(w) > 3 AND w LIKE '%s' AND w NOT LIKE '%ss' THEN w[:-2] ELSE w END)), ' ') AS s FROM low),
 vr AS (SELECT DISTINCT title_key, unnest([s, '#' || regexp_replace(l, '[^\p{L}\p{N}+#]+', '', 'g'), regexp_replace(s, '\bdeveloper\b', 'engineer', 'g')]) AS variant FROM sg)"""
@@ -258,6 +259,8 @@ ORACLES = {
 WHEN w IN ('gute', 'guten', 'guter', 'sehr', 'fundierte', 'fundierten', 'sichere', 'sicherer', 'erste', 'ersten', 'fließende', 'fließend') THEN 'adjective' END END AS flag, count(*) AS rows FROM (SELECT head_group, lower(trim(atom_norm)) AS w FROM requirements) GROUP BY 1, 2""",
     "display_names": """SELECT req_core, CASE WHEN coalesce(req_space, '') IN ('education', 'language') THEN req_core WHEN req_core NOT LIKE '% %' AND req_core = lower(req_core) AND req_core LIKE '%al' THEN upper(req_core[1]) || req_core[2:] || ' skills'
 ELSE upper(req_core[1]) || req_core[2:] END AS shown FROM req_cores""",
+    "role_alternatives": rf"""WITH t AS (SELECT DISTINCT title FROM titles WHERE title IS NOT NULL), m AS (SELECT title, regexp_extract(title, '{_ROLE}', 1) AS a, regexp_extract(title, '{_ROLE}', 2) AS b, regexp_extract(title, '{_ROLE}', 3) AS n FROM t WHERE regexp_matches(title, '{_ROLE}'))
+SELECT title, 0 AS at, a || ' ' || n AS role FROM m UNION ALL SELECT title, 1, b || ' ' || n FROM m""",
     "title_variants": f"WITH {_VARIANTS} SELECT title_key, variant FROM vr",
     "title_families": f"""WITH RECURSIVE {_VARIANTS}, e AS (SELECT DISTINCT x.title_key AS a, y.title_key AS b FROM vr x JOIN vr y ON x.variant = y.variant AND x.title_key <> y.title_key),
 w(node, root) USING KEY (node) AS (SELECT DISTINCT a, a FROM e UNION SELECT e.b, min(w.root) FROM w JOIN e ON w.node = e.a JOIN recurring.w AS r ON r.node = e.b WHERE w.root < r.root GROUP BY 1) SELECT node, root FROM w""",

@@ -80,7 +80,8 @@ def run_lights(spark: SparkSession, folder: str) -> DataFrame:
 def reference_bands(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "requirements").filter("trim(posting_id) <> ''").dropDuplicates(["req_id"])
     per = rows.groupBy("posting_id").agg(F.count(F.lit(1)).alias("atoms"), F.count_distinct("item_idx").alias("items"))
-    return R.reference_bands(per, "atoms", "items", [10, 30, 100], 500, 20261104)
+    bands = R.reference_bands(per, "atoms", "items", [10, 30, 100], 500, 20261104)
+    return bands.select("size", "runs", *[F.round(f"p{p}", 6).alias(f"p{p}") for p in (1, 5, 50, 95, 99)])
 
 
 def _history(spark: SparkSession, folder: str) -> DataFrame:
@@ -210,6 +211,11 @@ d AS (SELECT DISTINCT * FROM r WHERE atom_norm IS NOT NULL), t AS (SELECT * FROM
 SELECT c.route, c.match_status, count, examples, round(count / sum(count) OVER (), 6) AS share FROM c LEFT JOIN e ON c.route = e.route AND c.match_status = e.match_status""",
     "wilson": """WITH c AS (SELECT job, count(*) FILTER (match_status = 'nuovo') AS k, count(*) AS n FROM requirements GROUP BY 1), p AS (SELECT *, k / n AS p, 1.96 * 1.96 AS z2 FROM c)
 SELECT job, k, n, round(greatest(0, ((p + z2 / (2 * n)) - 1.96 * sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n)), 4) AS low, round(least(1, ((p + z2 / (2 * n)) + 1.96 * sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n)), 4) AS high FROM p""",
+    "reference_bands": """WITH r AS (SELECT * FROM requirements WHERE trim(posting_id) <> '' QUALIFY row_number() OVER (PARTITION BY req_id) = 1), p AS (SELECT posting_id, count(*) AS atoms, count(DISTINCT item_idx) AS items FROM r GROUP BY 1),
+s AS (SELECT v.size, greatest(1, (SELECT count(*) FROM p) // v.size) AS slots FROM (VALUES (10), (30), (100)) v(size)),
+d AS (SELECT s.size, slots, atoms, items, floor((('0x' || substr(sha256('20261104|' || s.size || '|' || posting_id), 1, 10))::BIGINT / 1099511627776.0::DOUBLE) * slots)::INT AS slot FROM p, s),
+g AS (SELECT size, slot, sum(atoms) / sum(items) AS r FROM d WHERE slot < least(slots, 500) GROUP BY 1, 2)
+SELECT size, count(*) AS runs, round(quantile_cont(r, 0.01), 6) AS p1, round(quantile_cont(r, 0.05), 6) AS p5, round(quantile_cont(r, 0.5), 6) AS p50, round(quantile_cont(r, 0.95), 6) AS p95, round(quantile_cont(r, 0.99), 6) AS p99 FROM g GROUP BY 1""",
     "binomial_tail": """WITH c AS (SELECT job, count(*) FILTER (route = 'damaged') AS k, count(*) AS n FROM requirements GROUP BY 1),
 t AS (SELECT job, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.04) + (n - i) * ln(0.96))) AS p FROM (SELECT *, unnest(range(k, n + 1)) AS i FROM c) GROUP BY 1)
 SELECT c.job, k, round(CASE WHEN k <= 0 THEN 1.0 ELSE least(1.0, p) END, 9) AS tail FROM c LEFT JOIN t ON c.job = t.job""",

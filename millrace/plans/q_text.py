@@ -281,6 +281,9 @@ SELECT key, posting_row, title FROM k QUALIFY row_number() OVER (PARTITION BY ke
     "loo_verdict": f"""WITH {FACTS_SQL}, s AS (SELECT DISTINCT industry, posting, brand FROM facts), c AS (SELECT industry, brand, count(*) AS c FROM s GROUP BY 1, 2), n AS (SELECT industry, count(DISTINCT posting) AS n FROM s GROUP BY 1),
 v AS (SELECT s.industry, (c - 1) / (n - 1) AS share FROM s JOIN c ON s.industry = c.industry AND s.brand = c.brand JOIN n ON s.industry = n.industry)
 SELECT industry, CASE WHEN share >= 0.3 THEN 'standard' WHEN share >= 0.1 THEN 'common' ELSE 'unusual' END AS verdict, count(*) AS n, round(avg(share), 6) AS mean_share FROM v GROUP BY 1, 2""",
+    "holdout_coverage": """WITH r AS (SELECT posting_id, atom_norm, regexp_matches(posting_id, '[01]$') AS test FROM requirements WHERE trim(posting_id) <> '' AND atom_norm IS NOT NULL),
+f AS (SELECT atom_norm, min(('0x' || substr(sha256('holdout|' || posting_id), 1, 10))::BIGINT / 1099511627776.0::DOUBLE) AS u FROM r WHERE NOT test GROUP BY 1)
+SELECT step::INT AS step, round(avg(CASE WHEN coalesce(u, 2.0) < step / 8.0 THEN 1.0 ELSE 0.0 END), 6) AS coverage FROM r LEFT JOIN f ON r.atom_norm = f.atom_norm, range(1, 9) k(step) WHERE test GROUP BY 1""",
     "expected_missing": f"""WITH {FACTS_SQL}, s AS (SELECT DISTINCT industry, level, posting, type FROM facts), n AS (SELECT industry, level, count(DISTINCT posting) AS n FROM s GROUP BY 1, 2),
 u AS (SELECT s.industry, s.level, type FROM s JOIN n ON s.level = n.level AND s.industry = n.industry GROUP BY 1, 2, 3, n HAVING count(*) / n >= 0.45)
 SELECT DISTINCT s.posting, u.type FROM s JOIN u ON s.level = u.level AND s.industry = u.industry WHERE NOT EXISTS (SELECT 1 FROM s y WHERE y.posting = s.posting AND y.type = u.type)""",
