@@ -35,7 +35,7 @@ def plain_requirement(text: Column) -> Column:
     """A requirement without the frame around it: `you are able to`, `must be`, `having`, and a doubled `experience of experience`."""
     out = F.regexp_replace(text, r"(?i)^\s*(?:(?:the\s+)?(?:candidate|applicant)s?\s+|you\s+|we\s+expect\s+)?(?:must\s+|should\s+|will\s+)?(?:be|are|is|have|has|having|bring)\s+(?:able\s+to\s+)?", "")
     out = F.regexp_replace(out, r"(?i)\b(experience|knowledge)\s+(?:of|with|in)\s+\1\b", "$1")
-    return F.trim(F.regexp_replace(out, r"\s+", " "))
+    return F.trim(F.regexp_replace(out, r"[\s\x{00a0}]+", " "))
 
 
 #: Machine translations that change the kind of a requirement, and what stands in the original (fixed values).

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions.requirements import decompose_udf, split_udf
 from millrace.operators import process as P
 from millrace.operators import runs as R
+from millrace.plans.q_runs import _METRICS
 from millrace.sources import sinks
 from millrace.sources.tables import table
 from millrace.streaming import admission as S
@@ -76,6 +77,7 @@ QUERIES = {f.__name__: f for f in (split_items, decompose, process_postings, uns
 _KEYED = "k AS (SELECT DISTINCT substr(sha256(CASE WHEN trim(coalesce(id, '')) <> '' THEN 'i:' || id ELSE 't:' || coalesce(title, '') || chr(0) || coalesce(array_to_string(must_have, chr(0)), '') END), 1, 16) AS advert_key FROM postings WHERE len(must_have) > 0)"
 
 ORACLES = {
+    "metric_rows": f"WITH {_METRICS} SELECT job, metric, value FROM (UNPIVOT (SELECT job, COLUMNS(* EXCLUDE (job))::DOUBLE FROM m) ON COLUMNS(* EXCLUDE (job)) INTO NAME metric VALUE value)",
     "input_causes": r"""WITH i AS (SELECT regexp_replace(item, '[^\p{L}]', '', 'g') AS l, item, translated FROM requirements WHERE item IS NOT NULL)
 SELECT CASE WHEN length(l) > 0 AND l = lower(l) THEN 'lowercase' WHEN translated THEN 'translation' WHEN length(item) > 120 THEN 'long_item' ELSE 'none' END AS cause, count(*) AS rows FROM i GROUP BY 1""",
     "posting_export": """WITH r AS (SELECT DISTINCT ON (req_id) * FROM requirements WHERE trim(posting_id) <> ''),
