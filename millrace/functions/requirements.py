@@ -28,11 +28,12 @@ SHORT_NAMES = {"phd": "PhD", "mba": "MBA"}
 
 
 def _degree_patterns() -> dict[str, str]:
-    """The pattern of each degree, put together from the words above; `years` is the French count after school (bac + n)."""
-    out = {"years": r"bac\s*\+\s*(?P<n>\d)"}
+    """The pattern of each degree, put together from the words above; `years` is the French count after
+    school (bac + n), of a range the lower end."""
+    out = {"years": r"bac\s*\+\s*(?P<n>\d)(?:\s*(?:/|-|to|à|or)\s*(?:bac\s*)?\+?\s*\d)?"}
     for rank, word in RANKS.items():
         letters = "|".join(rf"{word[0]}\.?\s?{s}\.?" if len(s) > 1 else rf"{word[0]}\.?{s}\.?" for s in SUBJECTS)
-        out[rank] = rf"{word}(?:'?s)?(?: of \w+)?|{letters}"
+        out[rank] = rf"{word}(?:'?s)?(?: of (?!{'|'.join(RANKS.values())})\w+)?|{letters}"
     for kind, words in OTHER_DEGREES.items():
         out[kind] = "|".join(re.escape(w) + r"\.?" if "." in w else re.escape(w) for w in words)
     return out
@@ -54,7 +55,9 @@ def degree_of(text: str) -> str:
 
 
 DEGREE = re.compile(rf"(?<![\w.])(?:{_DEGREE})(?![\w])", re.I)
-DEGREE_LIST = re.compile(rf"^(?:an?\s+)?((?:{_DEGREE})(?:\s*(?:,|/|\bor\b|\band\b|\bof\b(?=\s+(?:{_DEGREE})))+\s*(?:an?\s+)?(?:{_DEGREE}))*)(?:\s+degree)?\s*(?:\bin\b|\bof\b)\s+(.+)$", re.I)
+DEGREE_LIST = re.compile(rf"^(?:an?\s+)?((?:{_DEGREE})(?:\s+degree)?(?:\s*(?:,|/|\bor\b|\band\b|\bof\b(?=\s+(?:{_DEGREE})))+\s*(?:an?\s+)?(?:{_DEGREE})(?:\s+degree)?)*)\s*(?:\bin\b|\bof\b)\s+(.+)$", re.I)
+#: A degree beside an experience: another requirement, or another way to the same.
+DEGREE_AND = re.compile(rf"^((?:an?\s+)?(?:{_DEGREE})\b.+?)\s+(?:with\s+(?:an?\s+)?(.+\bexperience)|or\s+(equivalent\s+experience))(?:\s+(?:required|is required|preferred))?$", re.I)
 
 INTRODUCER = re.compile(r",?\s+(?:such as|like|including|e\.g\.|for example|for instance|namely)\s*:?\s+|:\s+", re.I)
 PREPOSITION = r"with|in|of|on|for|using|at|across|within|about|around|under"
@@ -64,7 +67,7 @@ OPENER = re.compile(
 )
 CONTAINER = re.compile(r"\b(?:languages?|frameworks?|tools?|technologies|libraries|platforms?|systems?|solutions?|products?|databases?|software)$", re.I)
 OPTIONAL = re.compile(r"\b(?:ideally|preferably|nice to have|a plus|an advantage|desirable|optional(?:ly)?|would be (?:good|great))\b", re.I)
-SIMILAR = re.compile(r"(?:,?\s*(?:and|or)\s+(?:an?\s+)?(?:similar|equivalent|comparable|related|other|others|the like)(?:\s+(?:field|fields|degree|qualification|technical qualification|subject|discipline|tools?|technolog\w+|solutions?|systems?|frameworks?|ones?|area|areas|experience))?|,?\s*etc\.?|\s*\(or (?:equivalent|similar|comparable)\))\s*$", re.I)
+SIMILAR = re.compile(r"(?:,?\s*(?:and|or)\s+(?:an?\s+)?(?:similar|equivalent|comparable|related|other|others|the like)(?:\s+(?:field|fields|degree|qualification|technical qualification|subject|discipline|tools?|technolog\w+|solutions?|systems?|frameworks?|ones?|area|areas|experience))?|,?\s*etc\.?|\s+of\s+gelijkwaardig|\s*\(or (?:equivalent|similar|comparable)\))\s*$", re.I)
 FILLER = re.compile(r"^(?:and|or|as well as|both|either|also|e\.g\.|such as|like)\s+", re.I)
 MODES = re.compile(r"\b(?:written|spoken|verbal|oral|writing|speech|reading)\b(?:\s+(?:and|or)\s+|,\s*)(?:in\s+)?\b(?:written|spoken|verbal|oral|writing|speech|reading|speaking)\b", re.I)
 MAX_WORDS, MAX_CHARS = 6, 48
@@ -115,11 +118,14 @@ def _listlike(parts: list[str]) -> bool:
 def _degrees(text: str) -> list[str] | None:
     """Degrees times fields, if the text asks for degrees in fields."""
     text = re.sub(r"\s*\((?:or equivalent|or similar|or comparable|[^)]*(?:school|university)[^)]*)\)", "", text.replace("’", "'"), flags=re.I)
+    if (m := DEGREE_AND.match(text)) and not re.search(r"\bwith\b", m.group(1), re.I):
+        return [*(_degrees(m.group(1)) or [m.group(1)]), m.group(2) or m.group(3)]
     m = DEGREE_LIST.match(_drop_similar(text))
     if not m:
         return None
     names = [d.group(0).strip() for d in DEGREE.finditer(m.group(1))]
-    names = [n for i, n in enumerate(names) if n.lower() != "degree" or i == 0 or len(names) == 1]
+    named = [n for n in names if n.lower() != "degree"]
+    names = named if named and (names[0].lower() != "degree" or re.match(r"(?:an?\s+)?degree\s+of\b", text, re.I)) else [n for i, n in enumerate(names) if n.lower() != "degree" or i == 0]
     fields = _pieces(m.group(2))
     fields = fields if _listlike(fields) else [_drop_similar(m.group(2))]
     suffix = " degree" if re.search(r"\bdegree\b", text, re.I) and not any("degree" in n.lower() for n in names) else ""
@@ -275,7 +281,7 @@ FRAMES = [
     ("interest", r"(?:interest|interested|passion|passionate|enthusias\w+)\s*(?:in|for|about)?"),
 ]
 _FRAMES = [(g, re.compile(rf"^(?:you\s+(?:have|bring)\s+|you\s+are\s+|are\s+|an?\s+|the\s+|with\s+an?\s+)*{p}\s*", re.I)) for g, p in FRAMES]
-TAILS = re.compile(r"\s*(?:,?\s*(?:is|are|would be|will be)?\s*(?:an?\s+)?(?:plus|advantage|required|desirable|preferred|nice to have|must))\s*$|\s*\((?:min\.?\s*)?[ABC][12]\+?\)\s*$", re.I)
+TAILS = re.compile(r"\s*(?:,?\s*(?:is|are|would be|will be)?\s*(?:an?\s+)?(?:plus|advantage|required|desirable|preferred|nice to have|must|minimum|min\.))\s*$|\s*\((?:min\.?\s*)?[ABC][12]\+?\)\s*$", re.I)
 PURPOSE = re.compile(r"\s+for\s+.+$", re.I)
 TRAIL_SKILL = re.compile(r"\s+(?:skills?|knowledge|experience|expertise)$", re.I)
 #: Spellings of one thing (fixed values).

@@ -15,6 +15,10 @@ SPLITS = [
     ("Experience with Kafka; knowledge of Flink", ["Experience with Kafka", "knowledge of Flink"]),
     ("Good knowledge of Excel and experience with budgets", ["Good knowledge of Excel", "experience with budgets"]),
     ("Fluent German, ideally Dutch", ["Fluent German", "ideally Dutch"]),
+    ("A Bachelor's Degree, Master's Degree or PhD in Botany", ["Bachelor's degree in Botany", "Master's degree in Botany", "PhD degree in Botany"]),
+    ("Bachelor of Master in Biologie of gelijkwaardig", ["Bachelor in Biologie", "Master in Biologie"]),
+    ("Master's degree in botany with field experience required", ["Master's degree in botany", "field experience"]),
+    ("Bachelor's degree in Botany or equivalent experience", ["Bachelor's degree in Botany", "equivalent experience"]),
 ]
 WHOLE = ["Working in a team", "Willingness to travel", "Python for statistics, plots and reports", "Strong communication, both written and spoken", "Trade-offs between cost, time and quality"]
 
@@ -44,6 +48,8 @@ def test_empty_and_very_long():
     ("Experience with Fortran", "Fortran", "experience", ""), ("Fortran skills", "Fortran", "competence", ""), ("3+ years of experience in logistics", "logistics", "experience", ""),
     ("Fluent French", "language: French", "language", ""), ("French (B2)", "language: French", "language", ""), ("French cuisine", "French cuisine", "", ""),
     ("M.Sc. in Geology", "education: Master in Geology", "education", "master"), ("Bac+5 in Geology", "education: Master in Geology", "education", "master"), ("PhD", "education: PhD (any field)", "education", "phd"),
+    ("BAC+3 minimum", "education: Bachelor (any field)", "education", "bachelor"), ("Bac+2 to Bac+5 in Botany", "education: Degree in Botany", "education", "degree"), ("Bac + 8 in Botany", "education: PhD in Botany", "education", "phd"),
+    ("B. Eng. in Botany", "education: Bachelor in Botany", "education", "bachelor"), ("M.A. in Botany", "education: Master in Botany", "education", "master"),
     ("Interest in sailing", "sailing", "", ""), ("Golang", "Go", "", ""), ("You have", "", "", ""), (None, "", "", ""),
 ])
 def test_decompose(text, key, head, degree):
