@@ -45,7 +45,7 @@ PARTNERS = 0.4
 #: Weight of the link between a node and the hub of its subject.
 HUB = 0.05
 VECTORS = 6
-ROUNDS = 8
+ROUNDS = 6
 KMEANS_ROUNDS = 3
 
 
@@ -219,19 +219,23 @@ def spectral_clusters(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS)
         raise RuntimeError("the pointers to the affinity peaks did not settle")
     linked = merged(label, x.select("node"), "node", "left_semi")
     alone = merged(label, x.select("node"), "node", "left_anti")
+    # Who may offer a centre to whom does not change: neighbours of real nodes, and the nodes around each hub.
+    around = cut(edges.select("a", "b", "kind"))
     for _ in range(KMEANS_ROUNDS):
-        placed = cut(merged(linked, x, "node"))
+        placed = merged(linked, x, "node")
         centre = cut(placed.groupBy("cluster").agg(*[F.avg(c).alias(f"c{c}") for c in coords]))
-        # A hub is in the centre nearest to it among those next to it; every neighbour, hubs too, offers the centre it is in.
-        offered = merged(edges.select("a", "b"), linked.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "cluster").distinct()
-        hubs = merged(offered, real.select("node"), "node", "left_anti")
         away = sum((F.col(c) - F.col(f"c{c}")) ** 2 for c in coords)
-        at_hub = merged(merged(hubs, x, "node"), centre, "cluster").withColumn("d", away)
-        at_hub = at_hub.groupBy("node").agg(F.min(F.struct(F.round("d", 9).alias("d"), "cluster")).alias("m")).select(F.col("node").alias("b"), "m.cluster")
-        by_hub = merged(edges.filter("kind = 1").select("a", "b"), at_hub, "b").select(F.col("a").alias("node"), "cluster")
-        seen = offered.unionByName(by_hub).unionByName(linked).distinct()
-        choice = merged(merged(merged(seen, real.select("node"), "node", "left_semi"), x, "node"), centre, "cluster")
-        linked = cut(choice.groupBy("node").agg(F.min(F.struct(F.round(away, 9).alias("d"), "cluster")).alias("m")).select("node", "m.cluster"))
+        nearest = F.min(F.struct(F.round(away, 9).alias("d"), "cluster")).alias("m")
+        # A hub is in the centre nearest to it among those next to it; every neighbour, hubs too, offers the centre it is in.
+        next_to = merged(around.filter("kind = 1").select(F.col("a").alias("node"), "b"), linked.withColumnRenamed("node", "b"), "b").select("node", "cluster").distinct()
+        hubs = merged(merged(next_to, x, "node"), centre, "cluster").groupBy("node").agg(nearest).select("node", "m.cluster")
+        offered = merged(around.select(F.col("a").alias("node"), "b"), linked.unionByName(hubs).withColumnRenamed("node", "b"), "b").select("node", "cluster")
+        seen = merged(offered, linked.select("node"), "node", "left_semi").unionByName(linked).distinct()
+        moved = cut(merged(merged(seen, x, "node"), centre, "cluster").groupBy("node").agg(nearest).select("node", "m.cluster"))
+        same = merged(moved, linked.withColumnRenamed("cluster", "was"), "node").filter("cluster <> was").isEmpty()
+        linked = moved
+        if same:
+            break
     return linked.unionByName(alone)
 
 
