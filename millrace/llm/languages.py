@@ -183,16 +183,17 @@ def item_languages(df: DataFrame, row: str, items: str, label: str, country: str
     by_country = by_host.groupBy("country").agg(*[F.sum(f"n_{l}").alias(f"n_{l}") for l in LANGUAGES])
     by_country = by_country.select("country", *[((F.col(f"n_{l}") + HOST_PRIOR * prior[l]) / (total() + HOST_PRIOR)).alias(f"c_{l}") for l in LANGUAGES])
     hosts = by_host.join(by_country, "country").select("country", "host", *[((F.col(f"n_{l}") + HOST_PRIOR * F.col(f"c_{l}")) / (total() + HOST_PRIOR)).alias(f"h_{l}") for l in LANGUAGES])
-    # Fusion, part by part in its row, and for the item as a whole (part -1), whose words speak together.
-    item = text.groupBy("k").agg(*[F.sum(f"t_{l}").alias(f"t_{l}") for l in LANGUAGES], F.sum("voters").alias("voters"), F.lit(0).alias("size")).withColumn("part", F.lit(-1))
+    # Fusion, part by part in its row, and for an item of several parts as a whole (part -1), whose words speak together.
+    item = text.groupBy("k").agg(*[F.sum(f"t_{l}").alias(f"t_{l}") for l in LANGUAGES], F.sum("voters").alias("voters"), F.lit(0).alias("size"), F.count(F.lit(1)).alias("several")).filter("several > 1").drop("several").withColumn("part", F.lit(-1))
     text = text.unionByName(item).filter(F.col("voters") >= F.when(F.col("size") >= 3, 1).otherwise(2))
     full = merged(rows.select("row", "item_idx", "k", "declared", "country", "host"), text, "k").join(hosts, ["country", "host"], "left")
     even = 1 / len(LANGUAGES)
     label_p = {l: F.when(F.col("declared").isNull(), F.lit(even)).when(F.col("declared") == l, F.lit(trust)).otherwise(F.lit((1 - trust) / (len(LANGUAGES) - 1))) for l in LANGUAGES}
-    score = [F.struct((F.col(f"t_{l}") + PRIOR_WEIGHT * (F.log(label_p[l] / even) + F.log(F.coalesce(F.col(f"h_{l}"), F.lit(prior[l])) / even))).alias("s"), F.lit(l).alias("l")) for l in LANGUAGES]
-    full = full.select("row", "item_idx", "part", "declared", F.array(*score).alias("scores")).withColumn("best", F.array_max("scores"))
-    norm = F.aggregate("scores", F.exp(F.lit(NONE) - F.col("best.s")), lambda a, x: a + F.exp(x["s"] - F.col("best.s")))
-    full = full.select("row", "item_idx", "part", F.col("best.l").alias("lang"), (1 / norm).alias("confidence"), "declared").filter(F.col("confidence") >= POSTERIOR)
+    score = {l: F.col(f"t_{l}") + PRIOR_WEIGHT * (F.log(label_p[l] / even) + F.log(F.coalesce(F.col(f"h_{l}"), F.lit(prior[l])) / even)) for l in LANGUAGES}
+    full = full.select("row", "item_idx", "part", "declared", *[score[l].alias(f"s_{l}") for l in LANGUAGES]).withColumn("best", F.greatest(*[F.col(f"s_{l}") for l in LANGUAGES]))
+    norm = reduce(lambda a, b: a + b, [F.exp(F.col(f"s_{l}") - F.col("best")) for l in LANGUAGES], F.exp(F.lit(NONE) - F.col("best")))
+    lang = F.coalesce(*[F.when(F.col(f"s_{l}") == F.col("best"), F.lit(l)) for l in sorted(LANGUAGES, reverse=True)])
+    full = full.select("row", "item_idx", "part", lang.alias("lang"), (1 / norm).alias("confidence"), "declared").filter(F.col("confidence") >= POSTERIOR)
     # The whole item only speaks where none of its parts does.
     out = full.groupBy("row", "item_idx", "lang").agg(F.max(F.when(F.col("part") >= 0, F.col("confidence"))).alias("own"), F.max("confidence").alias("whole"), F.min(F.when(F.col("part") >= 0, F.col("part"))).alias("part"), F.first("declared").alias("declared"))
     every = out.groupBy("row", "item_idx").agg(F.collect_list(F.struct("lang", "own", "whole", "part", "declared")).alias("found"))
