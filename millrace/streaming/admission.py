@@ -50,7 +50,7 @@ def admit(stream: DataFrame, place: str, gate=None) -> None:
         path = spark._jvm.org.apache.hadoop.fs.Path(f"{place}/adverts")
         if number and path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
             # One read of all batches before, the keys only; a batch that is run again does not see itself.
-            schema = rows.select("advert_key").schema.add("batch", "int")
+            schema = rows.select("advert_key").schema.add("batch", "integer")
             known = spark.read.schema(schema).option("basePath", f"{place}/adverts").parquet(f"{place}/adverts").filter(F.col("batch") < number)
             rows = rows.join(known.select("advert_key"), "advert_key", "left_anti")
         rows.write.mode("overwrite").parquet(f"{place}/adverts/batch={number}")
