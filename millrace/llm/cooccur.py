@@ -21,8 +21,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.joins import merged
 from millrace.session import cut
 
+#: Most heavy items (a task counts their pairs in heavy x heavy numbers; items beyond go with the light ones), and light
+#: items of a record that are paired in one row (a longer list is paired piece by piece, in rows of their own).
+MOST_HEAVY, LONG = 2048, 512
 #: Records of one bit block; a task holds heavy_items x BLOCK / 8 bytes of bits.
 BLOCK = 1 << 14
 
@@ -99,6 +103,16 @@ def _block_counts(batches: Iterator[pa.RecordBatch], heavy: int) -> Iterator[pa.
     yield pa.record_batch([pa.array(r.astype(np.int32)), pa.array(c.astype(np.int32)), pa.array([None] * len(r), pa.string()), pa.array(joint[r, c])], names=["ha", "hb", "light", "joint"])
 
 
+def _long_pairs(records: DataFrame) -> DataFrame:
+    """(item_a, item_b) of the sorted light lists of long records: pieces of LONG items meet each other by a join."""
+    count = F.ceil(F.size("l") / LONG).cast("int")
+    cuts = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.slice("l", i * LONG + 1, F.lit(LONG)))
+    pieces = records.select("record", count.alias("k"), F.posexplode(cuts).alias("j", "b"))
+    left = pieces.select("record", F.col("b").alias("a"), F.explode(F.sequence(F.col("j"), F.col("k") - 1)).alias("j"))
+    both = merged(left, pieces.select("record", "j", "b"), ["record", "j"])
+    return both.select("b", F.explode("a").alias("item_a")).select("item_a", F.explode("b").alias("item_b")).filter("item_a < item_b")
+
+
 def pair_counts(df: DataFrame, record: str, item: str, min_joint: int = 1, min_share: float = 0.0, heavy_share: float = 0.01) -> DataFrame:
     """Every pair of items that share at least max(min_joint, min_share x records) records, with its lift.
 
@@ -113,24 +127,26 @@ def pair_counts(df: DataFrame, record: str, item: str, min_joint: int = 1, min_s
     least = max(1, min_joint, math.ceil(min_share * total - 1e-9))
     kept = by_item.filter(F.col("n") >= least)
     # The number of heavy items is bounded by heavy_share, not by the input, so they may go to the driver.
-    heavy_rows = kept.filter(F.col("n") >= max(2.0, heavy_share * total)).select("item").orderBy("item").collect()
-    heavy = [r["item"] for r in heavy_rows]
+    heavy_rows = kept.filter(F.col("n") >= max(2.0, heavy_share * total)).orderBy(F.desc("n"), "item").limit(MOST_HEAVY).select("item").collect()
+    heavy = sorted(r["item"] for r in heavy_rows)
     names = spark.createDataFrame([(i, x) for i, x in enumerate(heavy)], "hpos INT, item STRING")
     # Items below the minimum go with a join on the item; Spark broadcasts the kept items only if their size allows it.
     rows = pairs.join(kept.select("item"), "item").join(F.broadcast(names), "item", "left")
     records = rows.groupBy("record").agg(
         F.array_sort(F.collect_list("hpos")).alias("h"),
         F.array_sort(F.collect_list(F.when(F.col("hpos").isNull(), F.col("item")))).alias("l"),
-    ).select("h", "l").filter(F.size("h") + F.size("l") > 1)
+    ).filter(F.size("h") + F.size("l") > 1)
+    records = cut(records)
 
     counts = len(heavy)
-    parts = records.mapInArrow(lambda it: _block_counts(it, counts), "ha INT, hb INT, light STRING, joint BIGINT") if counts else None
+    parts = records.select("h", "l").mapInArrow(lambda it: _block_counts(it, counts), "ha INT, hb INT, light STRING, joint BIGINT") if counts else None
     first = F.broadcast(names.selectExpr("hpos AS ha", "item AS item_a"))
     second = F.broadcast(names.selectExpr("hpos AS hb", "item AS item_b"))
     rare = (
-        records.filter(F.size("l") > 1)
+        records.filter((F.size("l") > 1) & (F.size("l") <= LONG))
         .select("l", F.posexplode("l").alias("at", "item_a"))
         .select("item_a", F.explode(F.slice("l", F.col("at") + 2, F.size("l"))).alias("item_b"))
+        .unionByName(_long_pairs(records.filter(F.size("l") > LONG)))
         .groupBy("item_a", "item_b")
         .agg(F.count(F.lit(1)).alias("joint"))
     )

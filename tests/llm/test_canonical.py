@@ -74,3 +74,13 @@ def test_held_out_titles(spark, folder):
     m = TitleMatcher(keys)
     right = sum(((f := m.find(r["title"])) and f[1] or "nuovo") == r["title_key"] for r in rows)
     assert right >= 0.98 * len(rows)
+
+
+def test_shards_of_the_real_lists_give_the_same(spark, folder):
+    """Sixty entries a tree or all in one: the same entry for every value of the tables."""
+    values = spark.read.parquet(f"{folder}/requirements.parquet").filter("coalesce(match_status, '') = ''")
+    cores = spark.read.parquet(f"{folder}/req_cores.parquet")
+    titles, keys = spark.read.parquet(f"{folder}/titles.parquet"), spark.read.parquet(f"{folder}/title_dictionary.parquet")
+    for df, column, ref, columns, matcher in ((values, "atom_norm", cores, ["req_core", "n"], PhraseMatcher), (titles, "title", keys, ["title_key", "title_group"], TitleMatcher)):
+        one = {tuple(r) for r in match_reference(df, column, ref, columns, matcher).collect()}
+        assert len(one) > 10 and {tuple(r) for r in match_reference(df, column, ref, columns, matcher, shard=60).collect()} == one

@@ -31,6 +31,15 @@ def test_all_parts_give_the_same_counts(spark, rows, share):
     assert {(r["item_a"], r["item_b"]): r["joint"] for r in got.collect()} == dict(brute(rows))
 
 
+def test_many_heavy_items_and_long_records(spark, rows, monkeypatch):
+    from millrace.llm import cooccur
+
+    monkeypatch.setattr(cooccur, "MOST_HEAVY", 3)
+    monkeypatch.setattr(cooccur, "LONG", 4)
+    got = pair_counts(spark.createDataFrame(rows, SCHEMA), "rec", "it", heavy_share=0.001)
+    assert {(r["item_a"], r["item_b"]): r["joint"] for r in got.collect()} == dict(brute(rows))
+
+
 def test_minimum_and_lift(spark, rows):
     got = pair_counts(spark.createDataFrame(rows, SCHEMA), "rec", "it", min_joint=5).collect()
     expected = {p: n for p, n in brute(rows).items() if n >= 5}
