@@ -27,7 +27,7 @@ def bare_head(text: Column) -> Column:
 def display(space: Column, core: Column) -> Column:
     """How a reader names a requirement: degrees and languages as they are, `analytical` as `Analytical skills`, else a capital first."""
     capital = F.concat(F.upper(F.substring(core, 1, 1)), F.substring(core, 2, 1_000_000))
-    trait = (~core.contains(" ")) & (core == F.lower(core)) & core.endswith("al")
+    trait = core.rlike(r"^\p{Ll}+al$")
     return F.when(F.coalesce(space, F.lit("")).isin("education", "language"), core).when(trait, F.concat(capital, F.lit(" skills"))).otherwise(capital)
 
 

@@ -257,7 +257,7 @@ ORACLES = {
     "month_counts": "SELECT strftime(created_at, '%Y-%m') AS month, count(*) AS rows FROM postings WHERE created_at IS NOT NULL GROUP BY 1",
     "bare_heads": rf"""SELECT head_group, CASE WHEN len(regexp_split_to_array(w, '\s+')) = 1 THEN CASE WHEN w IN ({_list(W.RELATIONAL)}) THEN 'noun' WHEN w IN ({_list(W.FILLERS)}) THEN 'filler'
 WHEN w IN ('gute', 'guten', 'guter', 'sehr', 'fundierte', 'fundierten', 'sichere', 'sicherer', 'erste', 'ersten', 'fließende', 'fließend') THEN 'adjective' END END AS flag, count(*) AS rows FROM (SELECT head_group, lower(trim(atom_norm)) AS w FROM requirements) GROUP BY 1, 2""",
-    "display_names": """SELECT req_core, CASE WHEN coalesce(req_space, '') IN ('education', 'language') THEN req_core WHEN req_core NOT LIKE '% %' AND req_core = lower(req_core) AND req_core LIKE '%al' THEN upper(req_core[1]) || req_core[2:] || ' skills'
+    "display_names": r"""SELECT req_core, CASE WHEN coalesce(req_space, '') IN ('education', 'language') THEN req_core WHEN regexp_matches(req_core, '^\p{Ll}+al$') THEN upper(req_core[1]) || req_core[2:] || ' skills'
 ELSE upper(req_core[1]) || req_core[2:] END AS shown FROM req_cores""",
     "role_alternatives": rf"""WITH t AS (SELECT DISTINCT title FROM titles WHERE title IS NOT NULL), m AS (SELECT title, regexp_extract(title, '{_ROLE}', 1) AS a, regexp_extract(title, '{_ROLE}', 2) AS b, regexp_extract(title, '{_ROLE}', 3) AS n FROM t WHERE regexp_matches(title, '{_ROLE}'))
 SELECT title, 0 AS at, a || ' ' || n AS role FROM m UNION ALL SELECT title, 1, b || ' ' || n FROM m""",
