@@ -46,7 +46,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             context.setCheckpointDir(named)
         return named
     if context.getCheckpointDir() is None:
-        if not context.master.startswith("local["):
+        if context.master != "local" and not context.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-checkpoint-"))
     return context.getCheckpointDir()
