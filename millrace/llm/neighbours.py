@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.llm.joins import merged
 from millrace.session import cut, share_path, spread
 
 BITS = 48
@@ -159,17 +160,18 @@ def nearest(df: DataFrame, vec: str = "vec_id", embedding: str = "embedding", k:
         runs = runs.withColumn(f"c{up}", F.sum("c0").over(Window.partitionBy("dim", "tree", F.shiftright("node", up))))
     runs = cut(runs)
     # Ascent: the fewest bits given up, the same in all trees, for which the runs hold enough others.
-    met = strings.select("id", "dim", "tree", head(depth).alias("node")).join(runs, ["dim", "tree", "node"])
+    met = merged(strings.select("id", "dim", "tree", head(depth).alias("node")), runs, ["dim", "tree", "node"])
     total = met.groupBy("id").agg(*(F.sum(F.col(f"c{u}") - 1).alias(f"s{u}") for u in range(CLIMB + 1)))
     up = F.lit(CLIMB)
     for u in range(CLIMB - 1, -1, -1):
         up = F.when(F.col(f"s{u}") >= want, F.lit(u)).otherwise(up)
     total = total.select("id", up.alias("up"))
-    sizes = runs.withColumn("whole", F.col(f"c{CLIMB}") <= block)
-    sizes = sizes.select("dim", "tree", "node", "whole", F.when(F.col("whole"), F.lit(1)).otherwise(F.ceil(F.col("c0") / block)).cast("int").alias("blocks"))
-    placed = coded.join(total.hint("merge"), "id").select("id", "dim", "q", "scale", "off", "up", F.posexplode("codes").alias("tree", "code"))
-    placed = placed.withColumn("node", head(depth)).join(sizes, ["dim", "tree", "node"])
-    piece = F.when(F.col("whole"), F.shiftright("node", CLIMB)).otherwise(-1 - F.col("node"))
+    # Of each vector, the trees in which its piece is too full, with the blocks of its run; few have any, so the vectors
+    # need not meet the directory tree by tree.
+    full = met.filter(F.col(f"c{CLIMB}") > block).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("tree", F.ceil(F.col("c0") / block).cast("int").alias("blocks")))).alias("full"))
+    placed = merged(merged(coded, total, "id"), full, "id", "left").select("id", "dim", "q", "scale", "off", "up", "full", F.posexplode("codes").alias("tree", "code"))
+    placed = placed.withColumn("blocks", F.col("full")[F.col("tree")]).withColumn("whole", F.col("blocks").isNull()).withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    piece = F.when(F.col("whole"), head(depth - CLIMB)).otherwise(-1 - head(depth))
     placed = placed.select("id", "dim", "tree", piece.alias("piece"), "code", F.when(F.col("whole"), F.col("up")).otherwise(0).alias("up"), "q", "scale", "off", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks").cast("bigint")).cast("int").alias("own"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("other", "blocks")
@@ -189,7 +191,7 @@ def nearest(df: DataFrame, vec: str = "vec_id", embedding: str = "embedding", k:
     best = pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     copies = every.join(rows.select("id").hint("merge"), "id", "left_anti").withColumnRenamed("id", "a")
     firsts = rows.filter(F.col("r") <= k).select("dir", "dim", F.col("id").alias("b"), F.col("r").alias("rank"))
-    return best.unionByName(copies.join(firsts, ["dir", "dim"]).select("a", "b", F.lit(1.0).alias("cosine"), "rank"))
+    return best.unionByName(merged(copies, firsts, ["dir", "dim"]).select("a", "b", F.lit(1.0).alias("cosine"), "rank"))
 
 
 def nearest_exact(df: DataFrame, queries: DataFrame, vec: str = "vec_id", embedding: str = "embedding", k: int = 10, block: int = 2048) -> DataFrame:

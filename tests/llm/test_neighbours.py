@@ -88,3 +88,17 @@ def test_a_tight_cluster_keeps_the_recall(spark):
     got = {(x["a"], x["b"]) for x in nearest(frame(spark, m), k=5, least=0.9, leaf=16).collect()}
     expected = brute(range(600), m.astype(float), 5, 0.9)
     assert len(expected) > 900 and len(got & expected) >= 0.99 * len(expected)
+
+
+def test_no_size_estimate_sends_a_table_to_the_driver(spark, vectors):
+    """Every estimate is under this limit; a broadcast would collect a side that grows with trees x vectors on the driver."""
+    runs = spark._jsparkSession.sharedState().statusStore()
+    known = {e.executionId() for e in (runs.executionsList().apply(i) for i in range(runs.executionsCount()))}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        assert nearest(frame(spark, vectors), k=5, least=0.8, leaf=32).count() > 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    plans = [e.physicalPlanDescription() for e in (runs.executionsList().apply(i) for i in range(runs.executionsCount())) if e.executionId() not in known]
+    assert plans and not any("BroadcastExchange" in p for p in plans)
