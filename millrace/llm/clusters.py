@@ -5,7 +5,8 @@
 2. Sparse affinities, a graph with three kinds of links: nodes of one block and use whose subjects are at most two slips apart
    (the weight falls with the slips); each node to the hub of its subject, whatever its use; hubs of subjects that are at most
    two slips apart. Hubs stand for "the same product for another use" with as many links as nodes, not as pairs of nodes.
-   Subjects are compared once a block, where they share a 4-letter run at about the same place.
+   Subjects are compared once a block, where they share a spelling with at most two letters left out (long ones: a run of 4
+   letters at about the same place), so that the pairs to compare do not grow with the square of the block.
 3. Power iteration: several random vectors are multiplied again and again with the row-normalised affinity matrix, one join
    and one aggregation a round. Nodes of a tightly linked set approach the same coordinates.
 4. K-means in these coordinates, seeded with the affinity peaks. A node compares the centres that it and its
@@ -47,6 +48,8 @@ HUB = 0.05
 VECTORS = 6
 ROUNDS = 6
 KMEANS_ROUNDS = 3
+#: Subjects of more letters than this have too many spellings with two letters left out.
+LONG = 24
 
 
 def fold(text: str | None) -> list[str]:
@@ -135,22 +138,54 @@ def read_phrases(df: DataFrame, phrase: str, text: str, group: str) -> DataFrame
     return rows.mapInPandas(read, rows.schema.simpleString()[7:-1].replace(":", " ") + ", use STRING, subject STRING")
 
 
-def subject_pairs(subjects: DataFrame) -> DataFrame:
-    """(block, x, y, w) for different subjects x < y of a block, at most two slips apart, of subjects (block, subject)."""
-    # Grams carry a number and a length, not the text, which may be long.
-    named = cut(subjects.filter(F.length("subject") >= 5).select("block", "subject", F.length("subject").alias("size"), F.monotonically_increasing_id().alias("n")))
+def _variants(named: DataFrame) -> DataFrame:
+    """(key, n): a hash of the block and of every spelling that a subject has with at most two letters left out.
+
+    Subjects two slips apart share one: a letter lost or gained is left out on one side, one exchanged or out of order on
+    both. Under 8 letters only one slip counts, so one letter is left out.
+    """
+    firsts = named.withColumn("i", F.explode(F.expr("sequence(0, IF(size < 8, 0, size - 1))")))
+    both = firsts.withColumn("j", F.explode(F.expr("sequence(IF(i = 0, 0, i + 1), size)")))
+    left = F.expr("concat(substring(subject, 1, i - 1), substring(subject, i + 1, j - i - 1), substring(subject, j + 1))")
+    return both.select(F.xxhash64("block", left).alias("key"), "n")
+
+
+def _shared_grams(named: DataFrame) -> DataFrame:
+    """(n, m), n < m: subjects that share a run of 4 letters at about the same place."""
     grams = named.select("block", "n", "size", "subject", F.explode(F.expr("sequence(1, size - 3)")).alias("at")).select("block", "n", "size", "at", F.expr("substring(subject, at, 4)").alias("gram"))
     # The place is part of the key, so that a run of letters that many share at different places is no hot key.
     other = grams.select("block", "gram", F.explode(F.expr("sequence(at - 2, at + 2)")).alias("at"), F.col("n").alias("m"), F.col("size").alias("size2"))
-    pairs = merged(grams, other, ["block", "gram", "at"]).filter("n <> m AND abs(size - size2) <= 2").select(F.least("n", "m").alias("n"), F.greatest("n", "m").alias("m")).distinct()
-    pairs = merged(merged(pairs, named.select("n", "block", F.col("subject").alias("x")), "n"), named.select(F.col("n").alias("m"), F.col("subject").alias("y")), "m")
+    return merged(grams, other, ["block", "gram", "at"]).filter("n < m AND abs(size - size2) <= 2").select("n", "m")
+
+
+def candidates(named: DataFrame, long: int = LONG) -> DataFrame:
+    """(n, m), n < m: all pairs of (n, block, subject, size) that may be two slips apart; of `long` letters or fewer, hardly any others."""
+    keys = _variants(named.filter(F.col("size") <= long))
+    # Both sides are renamed, so that they are the same exchange, written once.
+    alike = merged(keys.select("key", F.col("n").alias("a")), keys.select("key", F.col("n").alias("b")), "key").filter("a < b").select(F.col("a").alias("n"), F.col("b").alias("m"))
+    return alike.unionByName(_shared_grams(named.filter(F.col("size") > long - 2))).distinct()
+
+
+def subject_pairs(subjects: DataFrame, long: int = LONG) -> DataFrame:
+    """(block, x, y, w) for different subjects x < y of a block, at most two slips apart, of subjects (block, subject).
+
+    They must share a run of 4 letters at about the same place. Up to `long` letters they are found by the spellings with
+    letters left out, of which there are a number a subject and few that two unlike ones share; longer ones by their runs.
+    """
+    named = cut(subjects.filter(F.length("subject") >= 5).select("block", "subject", F.length("subject").alias("size"), F.monotonically_increasing_id().alias("n")))
+    pairs = candidates(named, long)
+    pairs = merged(merged(pairs, named.select("n", "block", F.col("subject").alias("x")), "n"), named.select(F.col("n").alias("m"), "block", F.col("subject").alias("y")), ["m", "block"])
     pairs = pairs.select("block", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).withColumn("d", F.levenshtein("x", "y", 4)).filter("d >= 0")
 
+    def run(x: str, y: str) -> bool:
+        return any(x[at : at + 4] == y[at + by : at + by + 4] for by in (0, -1, 1, -2, 2) for at in range(max(0, -by), len(x) - 3))
+
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             d = np.array([n if n <= 1 else slips(x, y) for x, y, n in zip(pdf["x"], pdf["y"], pdf["d"], strict=True)], dtype=int)
             short = np.minimum(pdf["x"].str.len(), pdf["y"].str.len())
             ok = (d <= 2) & ((d <= 1) | (short >= 8))
+            ok &= np.array([k and run(x, y) for x, y, k in zip(pdf["x"], pdf["y"], ok, strict=True)], dtype=bool)
             yield pd.DataFrame({"block": pdf["block"], "x": pdf["x"], "y": pdf["y"], "w": np.exp(-1.0 * d)})[ok]
 
     return pairs.mapInPandas(score, "block STRING, x STRING, y STRING, w DOUBLE")

@@ -1,8 +1,10 @@
+import random
 from itertools import combinations
 
 import pytest
 
-from millrace.llm.clusters import Reader, affinities, cluster_phrases, describe, pairs_of, spectral_clusters
+from millrace.llm.canonical import slips
+from millrace.llm.clusters import Reader, affinities, candidates, cluster_phrases, describe, pairs_of, spectral_clusters, subject_pairs
 from millrace.llm.q_clusters import p5_found
 
 SCHEMA = "phrase_id BIGINT, atom_norm STRING, head_group STRING, cluster STRING, text STRING"
@@ -97,3 +99,35 @@ def test_the_embedding_decides_between_uses(spark):
 def test_pairs_of_a_big_cluster_are_cut_into_parts(spark):
     members = spark.range(50).selectExpr("id", "IF(id < 40, 1L, id) AS cluster")
     assert {tuple(r) for r in pairs_of(members, part=7).collect()} == set(combinations(range(40), 2))
+
+
+def test_subjects_that_share_letters_only_are_not_compared(spark):
+    """600 subjects share a run at one place: 179,700 pairs, of which next to none are two slips apart."""
+    r = random.Random(1)
+    rows = [(k, "x", "data" + "".join(r.choices("abcdefghijklmnoprstuvz", k=9)), 13) for k in range(600)]
+    rows.append((600, "x", rows[0][2][:6] + rows[0][2][7:], 12))
+    got = {tuple(p) for p in candidates(spark.createDataFrame(rows, "n BIGINT, block STRING, subject STRING, size INT")).collect()}
+    assert (0, 600) in got and len(got) < 600
+
+
+def test_subject_pairs_are_those_of_brute_force(spark):
+    r = random.Random(2)
+    texts = set()
+    for size in (5, 6, 7, 8, 9, 12, 23, 24, 25, 26, 40):
+        for _ in range(4):
+            base = "".join(r.choices("abcdefg", k=size))
+            for _ in range(8):
+                w = list(base)
+                for _ in range(r.randint(0, 3)):
+                    at = r.randrange(len(w) - 1)
+                    kind = r.randrange(4)
+                    w[at : at + 2] = [[w[at + 1], w[at]], [w[at]], [w[at], "h", w[at + 1]], ["k", w[at + 1]]][kind]
+                texts.add("".join(w))
+    rows = [(b, t) for t in sorted(texts) for b in ("x", "y")]
+    near = lambda x, y: slips(x, y) <= (2 if min(len(x), len(y)) >= 8 else 1)
+    run = lambda x, y: any(x[i : i + 4] == y[j : j + 4] for i in range(len(x) - 3) for j in range(max(0, i - 2), min(i + 3, len(y) - 3)))
+    expected = {(x, y) for x, y in combinations(sorted(t for t in texts if len(t) >= 5), 2) if near(x, y) and run(x, y)}
+    assert len(expected) > 200
+    for long in (4, 9, 24):
+        got = [(p["block"], p["x"], p["y"]) for p in subject_pairs(spark.createDataFrame(rows, "block STRING, subject STRING"), long).collect()]
+        assert len(got) == len(set(got)) and set(got) == {(b, x, y) for b in ("x", "y") for x, y in expected}
